@@ -70,7 +70,7 @@ def model_proto(tokens: list[bytes]) -> bytes:
 class Encoder:
     """Encodes texts in one Python worker; each distinct pre-token is merged once while the cache holds it."""
 
-    def __init__(self, proto: bytes, pattern: str, cache: int = 400_000):
+    def __init__(self, proto: bytes, pattern: str, cache: int = 150_000):
         import regex
         import sentencepiece
 
@@ -80,22 +80,54 @@ class Encoder:
         self.whole = {self.model.id_to_piece(i): i for i in range(self.model.get_piece_size())}
         self.known: dict[str, bytes] = {}
 
-    def learn(self, pretokens: list[str]) -> None:
+    def learn(self, pretokens: set[str]) -> None:
         """A pre-token that is in the vocabulary as a whole is one token; the others are merged."""
-        mapped = ["".join(map(self.char, p.encode())) for p in pretokens]
-        for p, m, ids in zip(pretokens, mapped, self.model.encode(mapped, out_type=int, num_threads=1)):
+        if len(self.known) > self.cache:
+            self.known.clear()
+        new = list(pretokens.difference(self.known))
+        mapped = ["".join(map(self.char, p.encode())) for p in new]
+        for p, m, ids in zip(new, mapped, self.model.encode(mapped, out_type=int, num_threads=1) if new else []):
             self.known[p] = array("i", [self.whole[m]] if m in self.whole else ids).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """The ids as 32-bit integers, one after the other."""
-        pretokens = self.split(text)
-        try:
-            return b"".join(map(self.known.__getitem__, pretokens))
-        except KeyError:
-            if len(self.known) > self.cache:
-                self.known.clear()
-            self.learn([p for p in set(pretokens) if p not in self.known])
-        return b"".join(map(self.known.__getitem__, pretokens))
+    def encode(self, texts: list[str | None], chunk: int = 1 << 19) -> Iterator[bytes]:
+        """The ids of each text as 32-bit integers, one after the other; learns ``chunk`` characters' words at a time."""
+        held, n = [], 0
+        for i, t in enumerate(texts):
+            held.append(self.split(t or ""))
+            n += len(t or "")
+            if n >= chunk or i + 1 == len(texts):
+                self.learn(set().union(*held))
+                for pretokens in held:
+                    yield b"".join(map(self.known.__getitem__, pretokens))
+                held, n = [], 0
+
+
+class Decoder:
+    """Maps ids back to the bytes of their tokens."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.size = np.array([len(t) for t in tokens])
+        self.start, self.content = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(tokens), "u1")
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of the runs of ``ids`` between each two of ``ends``."""
+        size = self.size[ids]
+        to = np.concatenate([[0], np.cumsum(size)])  # the place of each id's bytes in the output
+        out = self.content[np.repeat(self.start[ids] - to[:-1], size) + np.arange(to[-1])].tobytes()
+        cuts = to[ends].tolist()
+        return [out[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _id_lists(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
+    parts = list(encoder.encode(texts.to_pylist()))
+    ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+
+
+def _pieces(array: pa.Array, rows: int = 256) -> Iterator[pa.Array]:
+    """Slices of few rows, so that no more than a few texts' ids are held besides the batch itself."""
+    for at in range(0, max(len(array), 1), rows):
+        yield array[at : at + rows]
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,36 +142,49 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", t
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(shared.value, pattern)
         for texts in batches:
-            parts = [encoder.encode(t) if t else b"" for t in texts.to_pylist()]
-            ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+            yield pa.concat_arrays([_id_lists(encoder, t) for t in _pieces(texts)])
 
     return docs.select(key, ids(F.col(text)).alias("ids"))
 
 
-def decode(encoded: DataFrame, rank_file: str, key: str = "doc_id", ids: str = "ids", keep: tuple = ()) -> DataFrame:
-    """(key, kept columns, decoded binary) from arrays of ids; null arrays decode to the empty string of bytes."""
+def decode(encoded: DataFrame, rank_file: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(key, decoded binary) from arrays of ids; null arrays decode to the empty string of bytes."""
     shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
 
     @F.arrow_udf("binary")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = shared.value
-        size = np.array([len(t) for t in tokens])
-        start, content = np.cumsum(size) - size, np.frombuffer(b"".join(tokens), "u1")
+        decoder = Decoder(shared.value)
         for arrays in batches:
-            flat, ends = arrays.flatten().to_numpy(), np.cumsum([0, *pc.list_value_length(arrays).to_pylist()])
-            to = np.concatenate([[0], np.cumsum(size[flat])])  # the place of each id's bytes in the output
-            out = content[np.repeat(start[flat] - to[:-1], size[flat]) + np.arange(to[-1])].tobytes()
-            cuts = to[ends].tolist()
-            yield pa.array([out[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())
+            parts = []
+            for a in _pieces(arrays):
+                ends = np.cumsum([0, *pc.list_value_length(a).to_pylist()])
+                parts += decoder.decode(a.flatten().to_numpy(), ends)
+            yield pa.array(parts, pa.binary())
+
+    return encoded.select(key, decoded(F.coalesce(ids, F.array().cast("array<int>"))).alias("decoded"))
+
+
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, decoded): encode and then decode the ids, as the two functions above do, in one pass of one worker."""
+    tokens = read_ranks(rank_file)
+    shared = docs.sparkSession.sparkContext.broadcast((model_proto(tokens), tokens))
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, decoder = Encoder(shared.value[0], pattern), Decoder(shared.value[1])
+        for texts in batches:
+            ids, decoded = [], []
+            for t in _pieces(texts):
+                ids.append(_id_lists(encoder, t))
+                decoded += decoder.decode(ids[-1].values.to_numpy(), ids[-1].offsets.to_numpy())
+            yield pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.array(decoded, pa.binary())], ["ids", "decoded"])
 
-    return encoded.select(key, *keep, decoded(F.coalesce(ids, F.array().cast("array<int>"))).alias("decoded"))
+    return docs.select(key, both(F.col(text)).alias("_b")).select(key, "_b.ids", "_b.decoded")
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 of a round trip."""
-    both = decode(encode(docs, rank_file, pattern, key, text), rank_file, key, "ids", keep=("ids",))
-    return both.select(
+    return round_trip(docs, rank_file, pattern, key, text).select(
         key,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.translate(F.col("ids").cast("string"), "[] ", "").cast("binary"), 256).alias("ids_sha256"),

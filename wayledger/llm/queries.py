@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid
+from . import bpe, langid, quality, toxicity
 from .common import fold
 
 
@@ -13,6 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2))
+    scored = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), quality.score_udf(model)(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= model.accept_at).cast("int"))
+
+
+def op2_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
+    judged = toxicity.judge(docs, model, keep=((fold("doc_id", 5) == 0).alias("held_out"),))
+    return judged.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     dictionaries = langid.fit(docs.where(fold("doc_id", 5) != 0))
@@ -23,6 +38,6 @@ def op10_sentencepiece_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op7_compression_language, op10_sentencepiece_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_bradley_terry_quality, op2_noisy_or_toxicity, op7_compression_language, op10_sentencepiece_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
