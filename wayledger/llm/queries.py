@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, toxicity
+from . import bpe, hostrules, langid, quality, simhash, toxicity, urls
 from .common import fold
 
 
@@ -28,16 +28,33 @@ def op2_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+URL_RULES = [("net/", urls.BLOCK), ("example.net/en/", urls.ALLOW), ("example.com/de/", urls.BLOCK), ("org/fr/", urls.ALLOW)]
+
+
+def op3_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = hostrules.judged(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     dictionaries = langid.fit(docs.where(fold("doc_id", 5) != 0))
     return langid.predict(docs, dictionaries, keep=((fold("doc_id", 5) == 0).alias("held_out"),))
 
 
+def op9_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 def op10_sentencepiece_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_bradley_terry_quality, op2_noisy_or_toxicity, op7_compression_language, op10_sentencepiece_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_bradley_terry_quality, op2_noisy_or_toxicity, op3_url_language_models, op4_host_rules, op7_compression_language, op9_pigeonhole_simhash, op10_sentencepiece_byte_bpe)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_host_rules": hostrules.ORACLE_SQL}

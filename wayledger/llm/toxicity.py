@@ -38,8 +38,11 @@ class Model:
         return float(-np.expm1(sum(np.log1p(-min(p, 1 - 1e-12)) for _, _, p in found))) if found else 0.0
 
 
-def vocabulary(sample: DataFrame, text: str, label: str, size: int, min_docs: int) -> list[str]:
-    """The ``size`` words (at most) whose presence tells most about a document's label, by the G-test statistic."""
+def vocabulary(sample: DataFrame, text: str, label: str, size: int, min_docs: int, min_g: float) -> list[str]:
+    """The ``size`` words (at most) that are more frequent in toxic documents and tell most about the label.
+
+    A word's worth is half its G-test statistic over documents with and without it; below ``min_g`` it may be chance.
+    """
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
     total = {r[label]: r["n"] for r in sample.groupBy(label).agg(F.count("*").alias("n")).collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
@@ -49,7 +52,8 @@ def vocabulary(sample: DataFrame, text: str, label: str, size: int, min_docs: in
     a, b, n = F.col("a"), F.col("b"), n1 + n0
     cells = ((a, (a + b) * n1 / n), (b, (a + b) * n0 / n), (n1 - a, (n - a - b) * n1 / n), (n0 - b, (n - a - b) * n0 / n))
     g = sum((F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0) for seen, expected in cells), F.lit(0.0))
-    return [r.w for r in counts.where(F.col("a") + F.col("b") >= min_docs).withColumn("g", g).orderBy(F.desc("g"), "w").limit(size).collect()]
+    telling = counts.where((a + b >= min_docs) & (a * n0 > b * n1)).withColumn("g", g).where(F.col("g") >= min_g)
+    return [r.w for r in telling.orderBy(F.desc("g"), "w").limit(size).collect()]
 
 
 def fit_noisy_or(bags: list[list[list[int]]], y: np.ndarray, n_words: int, l2: float = 2e-4, steps: int = 300, rate: float = 0.3) -> tuple[float, np.ndarray]:
@@ -82,16 +86,16 @@ def fit_noisy_or(bags: list[list[list[int]]], y: np.ndarray, n_words: int, l2: f
     return float(theta[-1]), theta[:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 3000, words: int = 400, min_docs: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 3000, words: int = 400, min_docs: int = 5, min_g: float = 12.0) -> Model:
     """A model from document labels.
 
     The documented bound on what is learnt from: at most ``per_class`` documents of either label, their whole texts, and
     the ``words`` most telling words; the driver gets the numbers of those words by sentence, nothing else.  Keys with
-    contradicting labels are left out; where a label has no document, nothing is toxic.
+    contradicting labels are left out and copies of a text count once; where a label has no document, nothing is toxic.
     """
     agreed = agreed_labels(labels, key, label)
-    sample = docs.select(key, text).join(F.broadcast(sample_ids(agreed, key, label, per_class)), key)
-    names = vocabulary(sample, text, label, words, min_docs)
+    sample = docs.select(key, text).join(F.broadcast(sample_ids(agreed, key, label, per_class)), key).dropDuplicates([text, label])
+    names = vocabulary(sample, text, label, words, min_docs, min_g)
     if not names:
         return Model()
     number = {w: i for i, w in enumerate(names)}
