@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hostrules, langid, quality, simhash, toxicity, urls
+from . import bpe, hostrules, langid, mixing, neighbours, quality, simhash, toxicity, urls
 from .common import fold
 
 
@@ -40,6 +40,14 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op6_fair_queueing_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     dictionaries = langid.fit(docs.where(fold("doc_id", 5) != 0))
@@ -55,6 +63,6 @@ def op10_sentencepiece_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_bradley_terry_quality, op2_noisy_or_toxicity, op3_url_language_models, op4_host_rules, op7_compression_language, op9_pigeonhole_simhash, op10_sentencepiece_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_bradley_terry_quality, op2_noisy_or_toxicity, op3_url_language_models, op4_host_rules, op5_inverted_multi_index, op6_fair_queueing_mix, op7_compression_language, op9_pigeonhole_simhash, op10_sentencepiece_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {"op4_host_rules": hostrules.ORACLE_SQL}
