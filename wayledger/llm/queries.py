@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hostrules, langid, mixing, neighbours, quality, simhash, toxicity, urls
+from . import bpe, hostrules, langid, mixing, neighbours, quality, simhash, suffixdedup, toxicity, urls
 from .common import fold
 
 
@@ -54,6 +54,13 @@ def op7_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, dictionaries, keep=((fold("doc_id", 5) == 0).alias("held_out"),))
 
 
+def op8_two_stage_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("bytes", F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")))
+    out = suffixdedup.deduplicated(docs, keep=("bytes",))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s.end - s.start))
+    return out.select("doc_id", F.col("bytes").alias("n_bytes"), gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
@@ -63,6 +70,6 @@ def op10_sentencepiece_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_bradley_terry_quality, op2_noisy_or_toxicity, op3_url_language_models, op4_host_rules, op5_inverted_multi_index, op6_fair_queueing_mix, op7_compression_language, op9_pigeonhole_simhash, op10_sentencepiece_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_bradley_terry_quality, op2_noisy_or_toxicity, op3_url_language_models, op4_host_rules, op5_inverted_multi_index, op6_fair_queueing_mix, op7_compression_language, op8_two_stage_suffix_arrays, op9_pigeonhole_simhash, op10_sentencepiece_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {"op4_host_rules": hostrules.ORACLE_SQL}
