@@ -182,11 +182,12 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id
     return docs.select(key, both(F.col(text)).alias("_b")).select(key, "_b.ids", "_b.decoded")
 
 
-def digests(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 of a round trip."""
-    return round_trip(docs, rank_file, pattern, key, text).select(
-        key,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.translate(F.col("ids").cast("string"), "[] ", "").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+def with_digests(both: DataFrame) -> DataFrame:
+    """A round trip's rows with n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256."""
+    return both.withColumns(
+        {
+            "n_tokens": F.size("ids").cast("long"),
+            "ids_sha256": F.sha2(F.translate(F.col("ids").cast("string"), "[] ", "").cast("binary"), 256),
+            "decoded_sha256": F.sha2("decoded", 256),
+        }
     )

@@ -67,9 +67,10 @@ def op9_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    both = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.with_digests(both).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 QUERIES = {f.__name__: f for f in (op1_bradley_terry_quality, op2_noisy_or_toxicity, op3_url_language_models, op4_host_rules, op5_inverted_multi_index, op6_fair_queueing_mix, op7_compression_language, op8_two_stage_suffix_arrays, op9_pigeonhole_simhash, op10_sentencepiece_byte_bpe)}
 
-ORACLE_SQL: dict[str, str] = {"op4_host_rules": hostrules.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_language_models": urls.ORACLE_SQL, "op4_host_rules": hostrules.ORACLE_SQL}

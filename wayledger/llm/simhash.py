@@ -167,5 +167,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int
     return marked.join(by_fp, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Of each class the row of least key, with its own columns; of rows that repeat that key one stays.
+
+    Rows of null key stay only where their class has no other key.
+    """
+    found = classes(docs, key, text, **options)
+    chosen = written(found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).agg(F.count("*").alias("_rows")), "representatives")
+    kept = docs.join(chosen.select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    return kept if chosen.where("_rows > 1").isEmpty() else kept.dropDuplicates([key])
+
+
 def hexadecimal(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -412,3 +412,13 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     cut = F.pandas_udf(run, "spans array<struct<start:int,end:int>>, kept binary")
     out = d.join(gone, ["_doc", "_h"], "left").withColumn("_r", cut("_text", "_spans"))
     return out.select(F.col("_key").alias(key), *[F.col(f"_keep_{c}").alias(c) for c in keep], "_r.spans", "_r.kept")
+
+
+def readable(kept: str):
+    """A string column of the whole characters among kept bytes."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for parts in batches:
+            yield pd.Series([bytes(b).decode(errors="ignore") for b in parts], dtype=object)
+
+    return F.pandas_udf(run, "string")(F.col(kept))
