@@ -28,38 +28,44 @@ REQUEST = np.dtype([("key", "<u8"), ("start", "<i4"), ("n", "<i4")])
 # ---------------------------------------------------------------------------------------------- windows and segments
 
 
-def byte_codes(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-
-
 def hashes(text: np.ndarray, sizes: tuple[int, ...], seed: int) -> list[np.ndarray]:
-    """64-bit hashes of the substrings of each of some sizes at every place; places too near the end hold no meaning."""
-    factor = np.uint64(0x9E3779B97F4A7C15)
-    power, h = {1: byte_codes(seed)[text]}, 1
-    join = lambda a, b, at: np.append(a[:-at] * factor ^ (a[:-at] >> np.uint64(29)) ^ b[at:] * np.uint64(0xC2B2AE3D27D4EB4F), a[-at:])
+    """64-bit hashes of the substrings of each of some sizes: polynomials over random codes of the bytes, then mixed."""
+    rng = np.random.default_rng(seed)
+    factor, h = int(rng.integers(1 << 62, 1 << 63)) | 1, 1
+    power = {1: rng.integers(1, 1 << 63, 256, dtype=np.uint64)[text]}
+
+    def join(a: np.ndarray, b: np.ndarray, at: int, size: int) -> np.ndarray:
+        """Of substrings of ``at`` bytes and of the ``size`` bytes that follow them."""
+        n = len(b) - at
+        out = a[:n] * np.uint64(pow(factor, size, 1 << 64))
+        out += b[at:]
+        return out
+
     while 2 * h <= max(sizes):
-        power[2 * h] = join(power[h], power[h], h)
+        power[2 * h] = join(power[h], power[h], h, h)
         h *= 2
     out = []
     for size in sizes:
         done, got = 0, None
         for p in sorted(power, reverse=True):
             if done + p <= size:
-                got = power[p] if got is None else join(got, power[p], done)
+                got = power[p] if got is None else join(got, power[p], done, p)
                 done += p
-        got = (got ^ (got >> np.uint64(31))) * factor
-        out.append(got ^ (got >> np.uint64(32)))
+        got = got ^ (got >> np.uint64(31))
+        got *= np.uint64(0x9E3779B97F4A7C15)
+        got ^= got >> np.uint64(32)
+        out.append(got)
     return out
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
-    """The least of each ``width`` neighbours from every place on."""
+    """The least of each ``width`` neighbours."""
     out, done = x, 1
     while 2 * done <= width:
-        out = np.append(np.minimum(out[:-done], out[done:]), out[-done:])
+        out = np.minimum(out[:-done], out[done:])
         done *= 2
     rest = width - done
-    return np.append(np.minimum(out[:-rest], out[rest:]), out[-rest:]) if rest else out
+    return np.minimum(out[:-rest], out[rest:]) if rest else out
 
 
 def segments(texts: list[bytes], length: int, heavy: np.ndarray) -> np.ndarray:
@@ -70,30 +76,35 @@ def segments(texts: list[bytes], length: int, heavy: np.ndarray) -> np.ndarray:
     """
     import xxhash
 
-    raw = b"".join(texts) + bytes(length + K)
+    raw = b"".join(texts) + bytes(length)
     buf, size = np.frombuffer(raw, "u1"), np.array([len(t) for t in texts])
-    base = np.cumsum(size) - size
-    count = np.maximum(size - length + 1, 0)
-    at = np.repeat(base - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    if not len(at):
+    base, long_enough = np.cumsum(size) - size, size >= length
+    if not long_enough.any():
         return np.zeros(0, ENTRY)
     width = length - K + 1
     gram = hashes(buf, (K,), 1)[0]
-    key = sliding_least(gram, width)[at]
-    first = np.append(True, (key[1:] != key[:-1]) | (np.diff(at) != 1))
-    last = np.append(first[1:], True)
-    runs = np.flatnonzero(first)
-    loops = ((gram[at] == key) & ~last) | ((gram[at + width - 1] == key) & ~first)
-    n = np.diff(np.append(runs, len(at)))
+    key = sliding_least(gram, width)
+    n = len(key) - 1  # windows that start inside the texts' bytes, all of them followed by another place
+    gram, next_, key = gram[:n], gram[width - 1 : width - 1 + n], key[:n]
+    ok, first = np.zeros(n, bool), np.append(True, key[1:] != key[:-1])
+    for a, b in zip(base[long_enough].tolist(), (base + size - length + 1)[long_enough].tolist()):
+        ok[a:b] = True
+        first[a] = True
+    first &= ok
+    last = ok & np.append(first[1:] | ~ok[1:], True)
+    runs, ends = np.flatnonzero(first), np.flatnonzero(last)
+    loops = (gram == key) & ok & ~last
+    loops |= (next_ == key) & ok & ~first
     out = np.zeros(len(runs), ENTRY)
-    out["key"], out["n"], out["loops"] = key[runs], n, np.add.reduceat(loops, runs) > 0
-    begin = at[runs]
+    n = ends - runs + 1
+    out["key"], out["n"], out["loops"] = key[runs], n, np.logical_or.reduceat(loops, runs)
+    begin = runs
     digest = xxhash.xxh3_64_intdigest
     out["seg"] = [digest(raw[a:b]) for a, b in zip(begin.tolist(), (begin + n - 1 + length).tolist())]
     if len(heavy):
         hit = heavy[np.minimum(np.searchsorted(heavy, out["key"]), len(heavy) - 1)] == out["key"]
         if hit.any():
-            own = at[np.repeat(hit, n)]
+            own = np.repeat(runs[hit] - (np.cumsum(n[hit]) - n[hit]), n[hit]) + np.arange(n[hit].sum())
             single = np.zeros(len(own), ENTRY)
             single["key"], single["seg"], single["n"] = hashes(buf, (length,), 2)[0][own], hashes(buf, (length,), 3)[0][own], 1
             out, begin = np.concatenate([out[~hit], single]), np.concatenate([begin[~hit], own])
