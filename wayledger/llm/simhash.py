@@ -167,12 +167,109 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int
     return marked.join(by_fp, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Of each class the row of least key, with its own columns; of rows that repeat that key one stays.
+def signature_udf(words: int, lanes: int, seed: int = 42):
+    """A column function: text -> array of ``lanes`` longs, a SimHash over the distinct shingles of ``words`` words.
 
-    Rows of null key stay only where their class has no other key.
+    Words and short texts are taken as for the fingerprint.  The lanes' bits come from independent mixes of one hash.
+    """
+    mixes = np.random.default_rng(seed).integers(1, 1 << 63, lanes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def one(text: str | None) -> list[int]:
+        import xxhash
+
+        ws = text.encode().lower().split() if text else []
+        parts = {b" ".join(p) for p in zip(*(ws[i:] for i in range(words)))} or {b" ".join(ws)}
+        h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, parts)), ">u8").astype(np.uint64)
+        ones = np.zeros((lanes, BITS), dtype=np.int64)
+        for at in range(0, len(h), 1 << 12):
+            x = h[at : at + (1 << 12), None] * mixes
+            x ^= x >> np.uint64(29)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(32)
+            ones += np.unpackbits(x.astype(">u8").view("u1").reshape(len(x), lanes, 8), axis=2).sum(0, dtype=np.int64)
+        return np.packbits(2 * ones > len(h), axis=1).view(">i8")[:, 0].tolist()
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([one(t) for t in texts], dtype=object)
+
+    return F.pandas_udf(run, "array<long>")
+
+
+def expected_share(similarity: float) -> float:
+    """The share of bits in which two SimHashes of sets of this Jaccard similarity and equal size are expected to differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def band_bits(n: int, lanes: int) -> int:
+    """Bits of a band: 16, and one more for each doubling of the signatures beyond a quarter of a million."""
+    return min(32, max(16, math.ceil(math.log2(max(n, 2))) - 2))
+
+
+def near_links(signatures: DataFrame, lanes: int, similarity: float, bucket_cap: int = 64) -> DataFrame:
+    """(a, b): links between the distinct signatures (id, sig) whose differing bits speak for the similarity or more.
+
+    Two signatures that agree in a whole band of bits are compared.  In a bucket of up to ``bucket_cap`` signatures all
+    pairs are; in a larger one all members are compared with as many hubs, and those that no hub is similar to meet each
+    other in the next round, until no bucket is large: a group of n near copies costs n times the cap, not n squared.
+    """
+    n = signatures.count()
+    width, bits = band_bits(n, lanes), lanes * BITS
+    most = int(bits * (expected_share(similarity) + 0.02))
+    piece = lambda at: F.shiftrightunsigned(F.col("sig")[at // BITS], at % BITS)
+    bands = []
+    for i, at in enumerate(range(0, bits - width + 1, width)):
+        value = piece(at) if at % BITS + width <= BITS else piece(at).bitwiseOR(F.shiftleft(F.col("sig")[at // BITS + 1], BITS - at % BITS))
+        bands.append(F.struct(F.lit(i).alias("i"), value.bitwiseAND(F.lit((1 << width) - 1)).alias("v")))
+    members = written(signatures.select("id", F.explode(F.array(*bands)).alias("band")), "bands")
+    apart = sum((F.bit_count(F.col("x.sig")[i].bitwiseXOR(F.col("y.sig")[i])) for i in range(lanes)), F.lit(0))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of a candidate table that the whole signatures bear out."""
+        pairs = pairs.distinct().join(signatures.alias("x"), F.col("a") == F.col("x.id")).join(signatures.alias("y"), F.col("b") == F.col("y.id"))
+        return pairs.where(apart <= most).select("a", "b")
+
+    sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members, found = members.join(sizes, "band"), []
+    while True:
+        few, many = members.where(F.col("n") <= bucket_cap), members.where(F.col("n") > bucket_cap)
+        pairs = few.select("band", F.col("id").alias("a")).join(few.select("band", F.col("id").alias("b")), "band").where("a < b").select("a", "b")
+        found.append(written(similar(pairs), "near"))
+        many = written(many, "crowded")
+        if many.isEmpty():
+            return reduce(DataFrame.unionByName, found).distinct()
+        # a bucket's hubs: the members of least hash, found by a threshold on the hash so that no task lists a bucket
+        share = (F.xxhash64("band", "id") / 2.0**64 + 0.5) * F.col("n")
+        hubs = many.where(share < bucket_cap / 2).select("band", F.col("id").alias("b"))
+        tied = written(similar(many.select("band", F.col("id").alias("a")).join(hubs, "band").where("a <> b").select("a", "b")), "near")
+        found.append(tied)
+        met = tied.select(F.col("a").alias("id")).unionByName(hubs.select(F.col("b").alias("id"))).distinct()
+        left = many.select("band", "id").join(met, "id", "left_anti")
+        sizes = left.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        members = written(left.join(sizes, "band"), "bands")
+
+
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 8) -> DataFrame:
+    """(key, component_id) of every row: texts whose shingles are similar link, classes are named by least key.
+
+    Similarity is the Jaccard similarity of the sets of ``words``-word shingles, estimated from ``lanes`` x 64 SimHash
+    bits.  Nearer pairs are found surely, pairs at the threshold itself most of the time.  Equal signatures are one node.
+    Null keys, repeated rows and other columns as in ``classes``; all texts without words are alike.
+    """
+    marked = written(docs.select(F.col(key).alias("key"), signature_udf(words, lanes)(F.col(text)).alias("sig")), "signatures")
+    nodes = written(marked.groupBy("sig").agg(F.min("key").alias("least")).withColumn("id", F.xxhash64("sig")), "nodes")
+    # 64-bit names of signatures: should two share one, their classes would merge
+    root = roots(near_links(nodes.select("id", "sig"), lanes, similarity)).withColumnRenamed("node", "id")
+    rooted = written(nodes.join(root, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_id = rooted.join(named, "root").select("id", "component_id")
+    return marked.withColumn("id", F.xxhash64("sig")).drop("sig").join(by_id, "id").select(F.col("key").alias(key), "component_id")
+
+
+def representatives(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Of each class in ``found`` (key, component_id) the row of least key, with its own columns; of rows that repeat
+    that key one stays.  Rows of null key stay only where their class has no other key.
     """
-    found = classes(docs, key, text, **options)
     chosen = written(found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).agg(F.count("*").alias("_rows")), "representatives")
     kept = docs.join(chosen.select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
     return kept if chosen.where("_rows > 1").isEmpty() else kept.dropDuplicates([key])
