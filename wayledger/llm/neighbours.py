@@ -85,19 +85,22 @@ class MultiIndex:
 def nearest(queries: tuple[np.ndarray, np.ndarray], entries: tuple[np.ndarray, np.ndarray], k: int) -> pd.DataFrame:
     """Each query's k nearest entries but its own id, ties to the smaller id, by exact distances in double precision."""
     (qid, q), (vid, v) = queries, entries
-    out = []
+    found = []
     square = (v * v).sum(1)
-    for at in range(0, len(q), 256):
-        block = q[at : at + 256]
+    for at in range(0, len(q), 32):
+        block, own = q[at : at + 32], qid[at : at + 32]
         rough = square - 2 * block @ v.T + (block * block).sum(1)[:, None]
-        rough[qid[at : at + 256, None] == vid[None, :]] = np.inf
-        for i, row in enumerate(rough):
-            limit = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-            hits = np.nonzero((row <= limit + 1e-9 * (1 + abs(limit))) & (row < np.inf) if limit < np.inf else row < np.inf)[0]
-            d = np.sqrt(((v[hits] - block[i]) ** 2).sum(1))
-            best = np.lexsort((vid[hits], d))[:k]
-            out.append(pd.DataFrame({"query_id": qid[at + i], "vec_id": vid[hits][best], "score": d[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        rough[own[:, None] == vid[None, :]] = np.inf
+        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(v) > k else np.full(len(block), np.inf)
+        reach = np.where(np.isfinite(limit), limit + 1e-9 * (1 + np.abs(limit)), np.finfo(float).max)
+        i, j = np.nonzero(rough <= reach[:, None])
+        d = np.sqrt(((v[j] - block[i]) ** 2).sum(1))
+        order = np.lexsort((vid[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((own[i[best]], vid[j[best]], d[best]))
+    columns = [np.concatenate(c) for c in zip(*found)] if found else [[], [], []]
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
 
 
 FOUND = "query_id long, vec_id long, score double"
@@ -116,8 +119,9 @@ def search(
     sample: int = 20_000,
     tuning_queries: int = 64,
     recall: float = 0.96,
-    max_codebook: int = 256,
-    entries_per_group: int = 8192,
+    entries_per_cell: int = 512,
+    max_codebook: int = 512,
+    entries_per_group: int = 4096,
     queries_per_group: int = 2048,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found by Euclidean distance for each query, nearest first.
@@ -140,7 +144,7 @@ def search(
     d, n = lengths.d, lengths.n
     clean = clean.where(F.size("v") == d)
     picked = stacked(pd.Series([r.v for r in clean.select("v").orderBy(F.xxhash64("vec_id")).limit(sample).collect()]))
-    size = int(min(max_codebook, max(1, round((n / 64) ** 0.5)), len(picked)))
+    size = int(min(max_codebook, max(1, round((n / entries_per_cell) ** 0.5)), len(picked)))
     half = max(1, d // 2)
     index = MultiIndex(k_means(picked[:, :half], size), k_means(picked[:, half:], size), np.zeros(size * size, dtype=np.int64))
 
