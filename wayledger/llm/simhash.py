@@ -128,7 +128,7 @@ def links(fingerprints: DataFrame, reach: int = 2, bucket_cap: int = 64) -> Data
     if reach not in (1, 2):
         raise ValueError("reach is 1 or 2: members of large buckets are linked through points one bit away")
     n = fingerprints.count()
-    sample = np.array([r.fp for r in fingerprints.orderBy(F.xxhash64("fp")).limit(1024).collect()], dtype=np.int64).astype(np.uint64)
+    sample = np.array([r.fp for r in fingerprints.orderBy(F.xxhash64("fp")).limit(1024).collect()] or [0], dtype=np.int64).astype(np.uint64)
     fp = F.col("fp")
     flipped = lambda bits: F.concat(F.array(fp), F.array(*[fp.bitwiseXOR(F.lit(signed(1 << b))) for b in bits]))
     kept, probed = [], []
