@@ -158,3 +158,16 @@ def risk_bands(df: DataFrame, predicted: str, actual: str, edges: tuple[float, .
     """(band, n, predicted, actual): mean prediction against what happened, by band of prediction."""
     band = sum(((F.col(predicted) >= e).cast("int") for e in edges), F.lit(0))
     return df.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.avg(predicted).alias("predicted"), F.avg(F.col(actual).cast("double")).alias("actual"))
+
+
+def concordance(df: DataFrame, key: str, days: str, event: str, score: str, sample: int = 2000) -> DataFrame:
+    """One row (pairs, concordance): how often the earlier event has the higher score, ties half.
+
+    Compared are the pairs of a documented sample, the ``sample`` rows of smallest hash, so the work stays bounded.
+    """
+    d = df.where(F.col(days).isNotNull() & F.col(score).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample)
+    d = d.select(F.col(days).alias("t"), F.col(event).cast("int").alias("e"), F.col(score).alias("s"))
+    a, b = d.where("e = 1").select(F.col("t").alias("ta"), F.col("s").alias("sa")), d.select(F.col("t").alias("tb"), F.col("s").alias("sb"))
+    pairs = a.join(F.broadcast(b), F.col("ta") < F.col("tb"))
+    right = F.when(F.col("sa") > F.col("sb"), 1.0).when(F.col("sa") == F.col("sb"), 0.5).otherwise(0.0)
+    return pairs.agg(F.count("*").alias("pairs"), F.avg(right).alias("concordance"))

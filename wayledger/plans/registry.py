@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..functions import columns as C
-from ..operators import canonical, changes, duplicates, extract, models, peers, planning, reports, series, signals
+from ..operators import assess, canonical, changes, duplicates, extract, models, peers, planning, reports, series, signals
 from ..sources.tables import stored
 from ..streaming import feed as streaming
 from .base_sql import PAYMENTS, PEERS, SCORED, STEPS, WORKS, wilson
@@ -442,6 +442,12 @@ def cox_fit(spark, d):
     return A.conformed(spark, d).select("work_ref", (F.col("log_amount") * float(w[0]) + F.col("is_sanctioned").cast("int") * float(w[1])).alias("log_hazard"))
 
 
+@query()
+def cox_concordance(spark, d):
+    w = A.conformed(spark, d).select("work_ref", "duration_days", "is_event")
+    return models.concordance(w.join(cox_fit(spark, d), "work_ref"), "work_ref", "duration_days", "is_event", "log_hazard")
+
+
 @query()
 def iforest_flags(spark, d):
     return models.isolation(A.conformed(spark, d), ["log_amount", "duration_days"]).select("work_ref", "score", "outlier")
@@ -493,3 +499,16 @@ def field_extraction(spark, d):
     text = F.format_string("ref mp %d – w%d, paid Rs. %s", F.col("l_suppkey"), F.col("l_partkey"), F.format_number("l_extendedprice", 2))
     read = line.select("l_orderkey", text.alias("t"))
     return read.select("l_orderkey", extract.references("t")[0].alias("reference"), extract.amounts("t")[0].alias("amount"))
+
+
+@query("""+ s AS (SELECT l_orderkey AS serial, l_partkey AS part, l_extendedprice * 4 AS claimed FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 3 = 0
+UNION ALL SELECT o_orderkey, 0, o_totalprice FROM orders WHERE o_orderkey % 3 = 1 UNION ALL SELECT -o_orderkey, 0, o_totalprice FROM orders WHERE o_orderkey % 300 = 2),
+j AS (SELECT s.*, recommended_amount AS k, amount_pct, checks_fired, risk FROM s LEFT JOIN scored w USING (serial))
+SELECT serial, part, CASE WHEN k IS NULL THEN 'REJECT' WHEN abs(claimed - k) > greatest(k * 0.01, 1) OR amount_pct >= 0.9 OR checks_fired > 0 OR risk >= 0.6 THEN 'CHECK'
+WHEN amount_pct IS NULL THEN 'UNKNOWN' ELSE 'OK' END AS status FROM j""", SCORED)
+def submission_assessment(spark, d):
+    lines, orders = A.table(spark, d, "lineitem"), A.table(spark, d, "orders")
+    claims = lines.where("l_linenumber = 2 and l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("serial"), F.col("l_partkey").alias("part"), (F.col("l_extendedprice") * 4).alias("claimed"))
+    whole = orders.where("o_orderkey % 3 = 1").selectExpr("o_orderkey AS serial", "0L AS part", "o_totalprice AS claimed")
+    lost = orders.where("o_orderkey % 300 = 2").selectExpr("-o_orderkey AS serial", "0L AS part", "o_totalprice AS claimed")
+    return assess.assessed(claims.unionByName(whole).unionByName(lost), A.scored(spark, d), "serial", "claimed").select("serial", "part", "status")
