@@ -38,10 +38,11 @@ class Model:
         return float(-np.expm1(sum(np.log1p(-min(p, 1 - 1e-12)) for _, _, p in found))) if found else 0.0
 
 
-def vocabulary(sample: DataFrame, text: str, label: str, size: int, min_docs: int, min_g: float) -> list[str]:
+def vocabulary(sample: DataFrame, text: str, label: str, size: int, min_docs: int, min_g: float, of_best: float) -> list[str]:
     """The ``size`` words (at most) that are more frequent in toxic documents and tell most about the label.
 
-    A word's worth is half its G-test statistic over documents with and without it; below ``min_g`` it may be chance.
+    A word's worth is half its G-test statistic over documents with and without it; below ``min_g``, or
+    below ``of_best`` of the best word's, it may be chance or come from near copies of few documents.
     """
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
     total = {r[label]: r["n"] for r in sample.groupBy(label).agg(F.count("*").alias("n")).collect()}
@@ -53,13 +54,15 @@ def vocabulary(sample: DataFrame, text: str, label: str, size: int, min_docs: in
     cells = ((a, (a + b) * n1 / n), (b, (a + b) * n0 / n), (n1 - a, (n - a - b) * n1 / n), (n0 - b, (n - a - b) * n0 / n))
     g = sum((F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0) for seen, expected in cells), F.lit(0.0))
     telling = counts.where((a + b >= min_docs) & (a * n0 > b * n1)).withColumn("g", g).where(F.col("g") >= min_g)
-    return [r.w for r in telling.orderBy(F.desc("g"), "w").limit(size).collect()]
+    best = telling.orderBy(F.desc("g"), "w").limit(size).collect()
+    return [r.w for r in best if r.g >= of_best * best[0].g]
 
 
-def fit_noisy_or(bags: list[list[list[int]]], y: np.ndarray, n_words: int, l2: float = 2e-4, steps: int = 300, rate: float = 0.3) -> tuple[float, np.ndarray]:
+def fit_noisy_or(bags: list[list[list[int]]], y: np.ndarray, n_words: int, toxic_share: float = 0.5, l2: float = 2e-4, steps: int = 300, rate: float = 0.3) -> tuple[float, np.ndarray]:
     """Bias and word weights that minimise the log-loss of noisy-or document probabilities, by Adam on all sentences.
 
-    ``bags``: for each document its sentences, each a list of word numbers.  Sentences without known words share the bias.
+    ``bags``: for each document its sentences, each a list of word numbers; those without known words are left out.
+    ``toxic_share`` is the weight of all toxic documents together.
     """
     sentence_doc, pair_sentence, pair_word, s = [], [], [], 0
     for d, bag in enumerate(bags):
@@ -72,7 +75,7 @@ def fit_noisy_or(bags: list[list[list[int]]], y: np.ndarray, n_words: int, l2: f
     theta = np.zeros(n_words + 1)
     theta[-1] = -4.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    balance = np.where(y == 1, toxic_share / max(1, (y == 1).sum()), (1 - toxic_share) / max(1, (y == 0).sum()))
     for t in range(1, steps + 1):
         z = np.clip(theta[-1] + np.bincount(ps, theta[pw], minlength=s), -30, 30)
         p = 1 / (1 + np.exp(-z))
@@ -86,7 +89,7 @@ def fit_noisy_or(bags: list[list[list[int]]], y: np.ndarray, n_words: int, l2: f
     return float(theta[-1]), theta[:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 3000, words: int = 400, min_docs: int = 5, min_g: float = 12.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 3000, words: int = 400, min_docs: int = 5, min_g: float = 12.0, of_best: float = 0.05) -> Model:
     """A model from document labels.
 
     The documented bound on what is learnt from: at most ``per_class`` documents of either label, their whole texts, and
@@ -95,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """
     agreed = agreed_labels(labels, key, label)
     sample = docs.select(key, text).join(F.broadcast(sample_ids(agreed, key, label, per_class)), key).dropDuplicates([text, label])
-    names = vocabulary(sample, text, label, words, min_docs, min_g)
+    names = vocabulary(sample, text, label, words, min_docs, min_g, of_best)
     if not names:
         return Model()
     number = {w: i for i, w in enumerate(names)}
@@ -109,7 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pd.Series(out, dtype=object)
 
     rows = sample.select(F.col(label).alias("y"), F.pandas_udf(bags, "array<array<int>>")(F.col(text)).alias("bag")).collect()
-    bias, weights = fit_noisy_or([r.bag for r in rows], np.array([r.y for r in rows]), len(names))
+    shares = {r[label]: r["n"] for r in agreed.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    bias, weights = fit_noisy_or([r.bag for r in rows], np.array([r.y for r in rows]), len(names), shares[1] / sum(shares.values()))
     return Model(bias, {w: float(x) for w, x in zip(names, weights)})
 
 
