@@ -202,26 +202,30 @@ def expected_share(similarity: float) -> float:
 
 
 def band_bits(n: int, lanes: int) -> int:
-    """Bits of a band: 16, and one more for each doubling of the signatures beyond a quarter of a million."""
-    return min(32, max(16, math.ceil(math.log2(max(n, 2))) - 2))
+    """Bits of a band: 16, and one more for each doubling of the signatures beyond 65,536, so buckets stay small."""
+    return min(32, max(16, math.ceil(math.log2(max(n, 2)))))
 
 
 def near_links(signatures: DataFrame, lanes: int, similarity: float, bucket_cap: int = 64) -> DataFrame:
     """(a, b): links between the distinct signatures (id, sig) whose differing bits speak for the similarity or more.
 
-    Two signatures that agree in a whole band of bits are compared.  In a bucket of up to ``bucket_cap`` signatures all
-    pairs are; in a larger one all members are compared with as many hubs, and those that no hub is similar to meet each
-    other in the next round, until no bucket is large: a group of n near copies costs n times the cap, not n squared.
+    Two signatures that agree in a whole band of bits are compared, first in one other lane of 64 bits, where a pair five
+    standard deviations off is dropped, then in all.  In a bucket of up to ``bucket_cap`` signatures all
+    pairs are; in a larger one all members are compared with as many hubs.  Those that no hub is similar to meet again in
+    buckets of two bands, where texts that only resemble each other part, and then round after round until no bucket is
+    large.  A group of n near copies so costs n times the cap, not n squared.
     """
     n = signatures.count()
     width, bits = band_bits(n, lanes), lanes * BITS
-    most = int(bits * (expected_share(similarity) + 0.02))
+    share = expected_share(similarity)
+    most, roughly = int(bits * (share + 0.02)), int(BITS * share + 5 * math.sqrt(BITS * share * (1 - share)))
     piece = lambda at: F.shiftrightunsigned(F.col("sig")[at // BITS], at % BITS)
     bands = []
     for i, at in enumerate(range(0, bits - width + 1, width)):
         value = piece(at) if at % BITS + width <= BITS else piece(at).bitwiseOR(F.shiftleft(F.col("sig")[at // BITS + 1], BITS - at % BITS))
-        bands.append(F.struct(F.lit(i).alias("i"), value.bitwiseAND(F.lit((1 << width) - 1)).alias("v")))
-    members = written(signatures.select("id", F.explode(F.array(*bands)).alias("band")), "bands")
+        other = F.col("sig")[(at // BITS + lanes // 2) % lanes]
+        bands.append(F.struct(F.xxhash64(F.lit(i), value.bitwiseAND(F.lit((1 << width) - 1))).alias("band"), other.alias("lane")))
+    members = written(signatures.select("id", F.inline(F.array(*bands))), "bands")
     apart = sum((F.bit_count(F.col("x.sig")[i].bitwiseXOR(F.col("y.sig")[i])) for i in range(lanes)), F.lit(0))
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -229,24 +233,31 @@ def near_links(signatures: DataFrame, lanes: int, similarity: float, bucket_cap:
         pairs = pairs.distinct().join(signatures.alias("x"), F.col("a") == F.col("x.id")).join(signatures.alias("y"), F.col("b") == F.col("y.id"))
         return pairs.where(apart <= most).select("a", "b")
 
-    sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members, found = members.join(sizes, "band"), []
+    named = lambda m: m.join(m.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band")
+    side = lambda m, name: m.select("band", F.col("id").alias(name), F.col("lane").alias(f"lane_{name}"))
+    alike = F.bit_count(F.col("lane_a").bitwiseXOR(F.col("lane_b"))) <= roughly
+    members, found, first = named(members), [], True
     while True:
         few, many = members.where(F.col("n") <= bucket_cap), members.where(F.col("n") > bucket_cap)
-        pairs = few.select("band", F.col("id").alias("a")).join(few.select("band", F.col("id").alias("b")), "band").where("a < b").select("a", "b")
+        pairs = side(few, "a").join(side(few, "b"), "band").where((F.col("a") < F.col("b")) & alike).select("a", "b")
         found.append(written(similar(pairs), "near"))
         many = written(many, "crowded")
         if many.isEmpty():
             return reduce(DataFrame.unionByName, found).distinct()
         # a bucket's hubs: the members of least hash, found by a threshold on the hash so that no task lists a bucket
-        share = (F.xxhash64("band", "id") / 2.0**64 + 0.5) * F.col("n")
-        hubs = many.where(share < bucket_cap / 2).select("band", F.col("id").alias("b"))
-        tied = written(similar(many.select("band", F.col("id").alias("a")).join(hubs, "band").where("a <> b").select("a", "b")), "near")
+        place = (F.xxhash64("band", "id") / 2.0**64 + 0.5) * F.col("n")
+        hubs = side(many.where(place < bucket_cap / 2), "b")
+        near_hub = side(many, "a").join(hubs, "band").where((F.col("a") != F.col("b")) & alike).select("band", "a", "b")
+        tied = written(similar(near_hub.select("a", "b")), "near")
         found.append(tied)
-        met = tied.select(F.col("a").alias("id")).unionByName(hubs.select(F.col("b").alias("id"))).distinct()
-        left = many.select("band", "id").join(met, "id", "left_anti")
-        sizes = left.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-        members = written(left.join(sizes, "band"), "bands")
+        met = near_hub.join(tied, ["a", "b"]).select("band", F.col("a").alias("id")).unionByName(hubs.select("band", F.col("b").alias("id"))).distinct()
+        left = many.select("band", "id", "lane").join(met, ["band", "id"], "left_anti")
+        if first:  # one more band each, in order of the pair's bands
+            seconds = signatures.select("id", F.col("sig")[0].alias("lane"), F.col("sig"))
+            seconds = seconds.select("id", F.col("lane").alias("same"), F.inline(F.array(*bands))).select("id", "same", F.col("band").alias("second"))
+            both = left.select("id", "band").join(seconds, "id").where("band <> second")
+            left, first = both.select("id", F.col("same").alias("lane"), F.xxhash64(F.least("band", "second"), F.greatest("band", "second")).alias("band")).distinct(), False
+        members = written(named(written(left, "left")), "bands")
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 8) -> DataFrame:
