@@ -206,12 +206,13 @@ def band_bits(n: int, lanes: int) -> int:
     return min(32, max(16, math.ceil(math.log2(max(n, 2)))))
 
 
-def near_links(signatures: DataFrame, lanes: int, similarity: float, bucket_cap: int = 64) -> DataFrame:
+def near_links(signatures: DataFrame, lanes: int, similarity: float, bucket_cap: int = 64, few_hubs: int = 4) -> DataFrame:
     """(a, b): links between the distinct signatures (id, sig) whose differing bits speak for the similarity or more.
 
     Two signatures that agree in a whole band of bits are compared, first in one other lane of 64 bits, where a pair five
     standard deviations off is dropped, then in all.  In a bucket of up to ``bucket_cap`` signatures all
-    pairs are; in a larger one all members are compared with as many hubs.  Those that no hub is similar to meet again in
+    pairs are; in a larger one all members are compared with about ``few_hubs`` hubs, others in each band, and in later
+    rounds with half the cap.  Those that no hub is similar to meet again in
     buckets of two bands, where texts that only resemble each other part, and then round after round until no bucket is
     large.  A group of n near copies so costs n times the cap, not n squared.
     """
@@ -246,7 +247,7 @@ def near_links(signatures: DataFrame, lanes: int, similarity: float, bucket_cap:
             return reduce(DataFrame.unionByName, found).distinct()
         # a bucket's hubs: the members of least hash, found by a threshold on the hash so that no task lists a bucket
         place = (F.xxhash64("band", "id") / 2.0**64 + 0.5) * F.col("n")
-        hubs = side(many.where(place < bucket_cap / 2), "b")
+        hubs = side(many.where(place < (few_hubs if first else bucket_cap / 2)), "b")
         near_hub = side(many, "a").join(hubs, "band").where((F.col("a") != F.col("b")) & alike).select("band", "a", "b")
         tied = written(similar(near_hub.select("a", "b")), "near")
         found.append(tied)
