@@ -2,12 +2,15 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from wayledger.llm import bpe, common, components, hostrules, langid, mixing, neighbours, quality, simhash, suffixdedup, toxicity, urls
@@ -362,6 +365,84 @@ def test_near_classes(spark, docs, none):
     assert simhash.near_classes(docs).count() == len(AWKWARD) and simhash.near_classes(none).count() == 0
 
 
+def shingle_sets(rows, words=5):
+    ws = {i: t.encode().lower().split() for i, t in rows}
+    return {i: {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} or {tuple(w)} for i, w in ws.items()}
+
+
+def classes_by_brute_force(rows, similar=0.8):
+    sets, root = shingle_sets(rows), {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = []
+    for i, j in itertools.combinations(sorted(sets), 2):
+        both = len(sets[i] & sets[j])
+        share = both / (len(sets[i]) + len(sets[j]) - both)
+        pairs.append(share)
+        if share >= similar:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return {i: find(i) for i in root}, pairs
+
+
+def test_near_classes_at_the_threshold(spark):
+    """Pairs from 0.7 to 0.9, each pair alone: linked if and only if brute force says 0.8 or more."""
+    rng = random.Random(21)
+    vocabulary, rows = [f"w{i}" for i in range(5000)], []
+    for i in range(120):
+        ws = prose(rng, 150 + i, vocabulary).split()
+        rows.append((2 * i, " ".join(ws)))
+        for at in rng.sample(range(len(ws)), rng.randint(2, 1 + len(ws) // 28)):
+            ws[at] = f"new{at}"
+        rows.append((2 * i + 1, " ".join(ws)))
+    want, shares = classes_by_brute_force(rows)
+    assert sum(0.75 <= s < 0.8 for s in shares) > 5 < sum(0.8 <= s < 0.85 for s in shares)
+    got = {r.doc_id: r.component_id for r in simhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_near_classes_of_a_crowd(spark):
+    """One template, 200 variants around the threshold: the classes are those of all pairs."""
+    rng = random.Random(22)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base, rows = prose(rng, 160, vocabulary).split(), []
+    for i in range(200):
+        ws = list(base)
+        for at in rng.sample(range(len(ws)), rng.randint(2, 9)):
+            ws[at] = f"v{rng.randint(0, 3)}x{at}"
+        rows.append((i, " ".join(ws)))
+    want, shares = classes_by_brute_force(rows)
+    assert 1 < len(set(want.values())) < 180 and sum(s >= 0.8 for s in shares) < len(shares) / 2
+    got = {r.doc_id: r.component_id for r in simhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_near_links_do_not_depend_on_the_input_size(spark):
+    """A pair at 0.8 is linked however many texts there are and whatever shingles are taken for common."""
+    rng = random.Random(23)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    ws = prose(rng, 204, vocabulary).split()
+    pair = [" ".join(ws), " ".join([*ws[:182], *(f"z{i}" for i in range(22))])]
+    rows = list(enumerate(pair))
+    want, shares = classes_by_brute_force(rows)
+    assert 0.8 <= shares[0] < 0.82 and want[1] == 0
+    for extra in (0, 3000):
+        d = spark.createDataFrame(rows + [(10 + i, prose(rng, 40, vocabulary)) for i in range(extra)], "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in simhash.near_classes(d).collect()}
+        assert got[0] == got[1] == 0 and len(set(got.values())) == 1 + extra
+    sets = list(shingle_sets(rows).values())
+    hashes = np.array([simhash.signed(xxhash.xxh64_intdigest(b" ".join(g))) for g in sets[0] & sets[1]], np.int64)
+    firsts = []
+    for listed in (None, hashes[:50], rng.sample(list(hashes), len(hashes))):
+        one = simhash.shingle_udf(5, Fraction(4, 5), None if listed is None else np.array(listed, np.int64))
+        firsts.append([set(r.s.hashes) for r in spark.createDataFrame(rows, "id long, text string").select(one("text").alias("s")).collect()])
+    assert all(a & b for a, b in firsts)
+
+
 def test_roots_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(50)] + [(1000, 1000 + k) for k in range(1, 40)] + [(7, 7), (2000, 2001), (2001, 2000)]
     got = {r.node: r.root for r in components.roots(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -167,115 +168,111 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int
     return marked.join(by_fp, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
-def signature_udf(words: int, lanes: int, seed: int = 42):
-    """A column function: text -> array of ``lanes`` longs, a SimHash over the distinct shingles of ``words`` words.
+def shingle_udf(words: int, similarity: Fraction, common: np.ndarray | None = None, whole: bool = False):
+    """A column function: text -> (id, size, hashes): the distinct shingles of ``words`` words as 64-bit hashes.
 
-    Words and short texts are taken as for the fingerprint.  The lanes' bits come from independent mixes of one hash.
+    ``id`` is a hash of the whole set and ``size`` how many there are.  ``hashes`` is the part that two sets of this Jaccard
+    similarity must share one of, or all if ``whole``.  They are ordered by hash, those of ``common`` after all others
+    in the order given.  Words and short texts are taken as for the fingerprint.
     """
-    mixes = np.random.default_rng(seed).integers(1, 1 << 63, lanes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    common = np.zeros(0, np.int64) if common is None else common
+    place = np.argsort(common)
+    ordered, p, q = common[place], similarity.numerator, similarity.denominator
 
-    def one(text: str | None) -> list[int]:
+    def one(text: str | None) -> tuple[int, int, np.ndarray]:
         import xxhash
 
         ws = text.encode().lower().split() if text else []
-        parts = {b" ".join(p) for p in zip(*(ws[i:] for i in range(words)))} or {b" ".join(ws)}
-        h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, parts)), ">u8").astype(np.uint64)
-        ones = np.zeros((lanes, BITS), dtype=np.int64)
-        for at in range(0, len(h), 1 << 12):
-            x = h[at : at + (1 << 12), None] * mixes
-            x ^= x >> np.uint64(29)
-            x *= np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(32)
-            ones += np.unpackbits(x.astype(">u8").view("u1").reshape(len(x), lanes, 8), axis=2).sum(0, dtype=np.int64)
-        return np.packbits(2 * ones > len(h), axis=1).view(">i8")[:, 0].tolist()
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        parts = {b" ".join(s) for s in zip(*(ws[i:] for i in range(words)))} or {b" ".join(ws)}
+        h = np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, parts)), ">i8").astype(np.int64))
+        name, n = xxhash.xxh64_intdigest(h.tobytes()), len(h)
+        if whole:
+            return signed(name), n, h
+        if len(ordered):
+            at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
+            h = h[np.argsort(np.where(ordered[at] == h, place[at], -1), kind="stable")]
+        return signed(name), n, h[: n - -(-p * n // q) + 1]
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([one(t) for t in texts], dtype=object)
-
-    return F.pandas_udf(run, "array<long>")
-
+            yield pd.DataFrame([one(t) for t in texts], columns=["id", "size", "hashes"])
 
-def expected_share(similarity: float) -> float:
-    """The share of bits in which two SimHashes of sets of this Jaccard similarity and equal size are expected to differ."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return F.pandas_udf(run, "id long, size int, hashes array<long>")
 
 
-def band_bits(n: int, lanes: int) -> int:
-    """Bits of a band: 16, and one more for each doubling of the signatures beyond 65,536, so buckets stay small."""
-    return min(32, max(16, math.ceil(math.log2(max(n, 2)))))
+def common_shingles(docs: DataFrame, key: str, text: str, words: int, share: float = 0.05, least: int = 20_000, most: int = 1_000_000) -> np.ndarray:
+    """Hashes of shingles that several texts of a sample have, rarest first.  They only order the shingles: any list gives the same links."""
+    n = max(1, docs.count())
+    sample = docs.where((F.xxhash64(F.lit(7), key) / 2.0**64 + 0.5) < max(share, least / n))
+    seen = sample.select(F.explode(shingle_udf(words, Fraction(1), whole=True)(F.col(text)).hashes).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    rows = seen.where("n > 2").orderBy(F.desc("n"), "h").limit(most).toPandas()
+    return rows.h.to_numpy(np.int64)[::-1].copy()
 
 
-def near_links(signatures: DataFrame, lanes: int, similarity: float, bucket_cap: int = 64, few_hubs: int = 4) -> DataFrame:
-    """(a, b): links between the distinct signatures (id, sig) whose differing bits speak for the similarity or more.
+def near_links(members: DataFrame, sets: DataFrame, similarity: Fraction, few: int = 64, hub_rounds: int = 4) -> DataFrame:
+    """(a, b) such that any two sets of the similarity or more are joined by a path of links, and no others are linked.
 
-    Two signatures that agree in a whole band of bits are compared, first in one other lane of 64 bits, where a pair five
-    standard deviations off is dropped, then in all.  In a bucket of up to ``bucket_cap`` signatures all
-    pairs are; in a larger one all members are compared with about ``few_hubs`` hubs, others in each band, and in later
-    rounds with half the cap.  Those that no hub is similar to meet again in
-    buckets of two bands, where texts that only resemble each other part, and then round after round until no bucket is
-    large.  A group of n near copies so costs n times the cap, not n squared.
+    ``members`` are the (id, size, at, hash) of each set's leading hashes: two similar sets share one, and at the first they
+    share enough hashes are left behind it in both.  ``sets`` has (id, hashes).  A bucket is all that share a hash.  In each
+    round all of a bucket are compared with its hub, the member of least hash, which then leaves: all its pairs are
+    decided.  Pairs that a path already joins need no comparison, so a bucket of near copies is done after a round or two.
+    From the second round on small buckets, and after ``hub_rounds`` all, compare every pair that no path joins.
     """
-    n = signatures.count()
-    width, bits = band_bits(n, lanes), lanes * BITS
-    share = expected_share(similarity)
-    most, roughly = int(bits * (share + 0.02)), int(BITS * share + 5 * math.sqrt(BITS * share * (1 - share)))
-    piece = lambda at: F.shiftrightunsigned(F.col("sig")[at // BITS], at % BITS)
-    bands = []
-    for i, at in enumerate(range(0, bits - width + 1, width)):
-        value = piece(at) if at % BITS + width <= BITS else piece(at).bitwiseOR(F.shiftleft(F.col("sig")[at // BITS + 1], BITS - at % BITS))
-        other = F.col("sig")[(at // BITS + lanes // 2) % lanes]
-        bands.append(F.struct(F.xxhash64(F.lit(i), value.bitwiseAND(F.lit((1 << width) - 1))).alias("band"), other.alias("lane")))
-    members = written(signatures.select("id", F.inline(F.array(*bands))), "bands")
-    apart = sum((F.bit_count(F.col("x.sig")[i].bitwiseXOR(F.col("y.sig")[i])) for i in range(lanes)), F.lit(0))
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of a candidate table that the whole signatures bear out."""
-        pairs = pairs.distinct().join(signatures.alias("x"), F.col("a") == F.col("x.id")).join(signatures.alias("y"), F.col("b") == F.col("y.id"))
-        return pairs.where(apart <= most).select("a", "b")
-
-    named = lambda m: m.join(m.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band")
-    side = lambda m, name: m.select("band", F.col("id").alias(name), F.col("lane").alias(f"lane_{name}"))
-    alike = F.bit_count(F.col("lane_a").bitwiseXOR(F.col("lane_b"))) <= roughly
-    members, found, first = named(members), [], True
+    p, q = similarity.numerator, similarity.denominator
+    pending, found, tested, turn = members.withColumn("root", F.col("id")), None, None, 0
     while True:
-        few, many = members.where(F.col("n") <= bucket_cap), members.where(F.col("n") > bucket_cap)
-        pairs = side(few, "a").join(side(few, "b"), "band").where((F.col("a") < F.col("b")) & alike).select("a", "b")
-        found.append(written(similar(pairs), "near"))
-        many = written(many, "crowded")
-        if many.isEmpty():
-            return reduce(DataFrame.unionByName, found).distinct()
-        # a bucket's hubs: the members of least hash, found by a threshold on the hash so that no task lists a bucket
-        place = (F.xxhash64("band", "id") / 2.0**64 + 0.5) * F.col("n")
-        hubs = side(many.where(place < (few_hubs if first else bucket_cap / 2)), "b")
-        near_hub = side(many, "a").join(hubs, "band").where((F.col("a") != F.col("b")) & alike).select("band", "a", "b")
-        tied = written(similar(near_hub.select("a", "b")), "near")
-        found.append(tied)
-        met = near_hub.join(tied, ["a", "b"]).select("band", F.col("a").alias("id")).unionByName(hubs.select("band", F.col("b").alias("id"))).distinct()
-        left = many.select("band", "id", "lane").join(met, ["band", "id"], "left_anti")
-        if first:  # one more band each, in order of the pair's bands
-            seconds = signatures.select("id", F.col("sig")[0].alias("lane"), F.col("sig"))
-            seconds = seconds.select("id", F.col("lane").alias("same"), F.inline(F.array(*bands))).select("id", "same", F.col("band").alias("second"))
-            both = left.select("id", "band").join(seconds, "id").where("band <> second")
-            left, first = both.select("id", F.col("same").alias("lane"), F.xxhash64(F.least("band", "second"), F.greatest("band", "second")).alias("band")).distinct(), False
-        members = written(named(written(left, "left")), "bands")
-
-
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 8) -> DataFrame:
+        hub = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "size", "at", "root")).alias("hub")
+        open_ = pending.groupBy("hash").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), hub).where("lo <> hi")
+        live = written(pending.join(open_.drop("lo", "hi"), "hash"), "live")
+        if live.isEmpty():
+            return members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0) if found is None else found
+        whole = F.lit(False) if turn == 0 else F.col("n") <= few if turn < hub_rounds else F.lit(True)
+        enough = lambda x, y: F.least(F.col(f"{x}.size") - F.col(f"{x}.at"), F.col(f"{y}.size") - F.col(f"{y}.at")) * (p + q) >= p * (F.col(f"{x}.size") + F.col(f"{y}.size"))
+        ends = lambda x, y: (F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b"))
+        star = live.alias("x").where(~whole & (F.col("x.root") != F.col("hub.root")))
+        pairs = star.where(enough("x", "hub")).select(*ends("x", "hub"))
+        if turn:
+            rest = live.where(whole).select("hash", "root", "id", "size", "at")
+            kinds = rest.select("hash", "root").distinct()
+            two = kinds.withColumnRenamed("root", "ra").join(kinds.withColumnRenamed("root", "rb"), "hash").where("ra < rb")
+            x, y = rest.withColumnRenamed("root", "ra").alias("x"), rest.withColumnRenamed("root", "rb").alias("y")
+            each = two.join(x, ["hash", "ra"]).join(y, ["hash", "rb"]).where(enough("x", "y"))
+            pairs = pairs.unionByName(each.select(*ends("x", "y")))
+        pairs = pairs.distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+        near = written(both.where(F.size(F.array_intersect("x", "y")) * (p + q) >= p * (F.size("x") + F.size("y"))).select("a", "b"), "near")
+        found = near if found is None else found.unionByName(near)
+        left = live.where(~whole & (F.col("id") != F.col("hub.id"))).select("hash", "id", "size", "at")
+        pending = left.join(roots(found).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        turn += 1
+
+
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(key, component_id) of every row: texts whose shingles are similar link, classes are named by least key.
 
-    Similarity is the Jaccard similarity of the sets of ``words``-word shingles, estimated from ``lanes`` x 64 SimHash
-    bits.  Nearer pairs are found surely, pairs at the threshold itself most of the time.  Equal signatures are one node.
+    Similarity is the Jaccard similarity of the sets of ``words``-word shingles, compared by their 64-bit hashes: no pair is
+    missed and none below is linked.  Equal sets are one node.  ``docs`` is read three times.
     Null keys, repeated rows and other columns as in ``classes``; all texts without words are alike.
     """
-    marked = written(docs.select(F.col(key).alias("key"), signature_udf(words, lanes)(F.col(text)).alias("sig")), "signatures")
-    nodes = written(marked.groupBy("sig").agg(F.min("key").alias("least")).withColumn("id", F.xxhash64("sig")), "nodes")
-    # 64-bit names of signatures: should two share one, their classes would merge
-    root = roots(near_links(nodes.select("id", "sig"), lanes, similarity)).withColumnRenamed("node", "id")
-    rooted = written(nodes.join(root, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")), "rooted")
+    t, took = Fraction(str(similarity)), docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    first = shingle_udf(words, t, common_shingles(took, "key", "text", words))(F.col("text"))
+    marked = written(took.select("key", first.alias("s")).select("key", "s.*"), "shingles")
+    # 64-bit names of sets: should two share one, their classes would merge
+    nodes = written(marked.groupBy("id").agg(F.min("key").alias("least"), F.any_value("size").alias("size"), F.any_value("hashes").alias("hashes")), "nodes")
+    members = nodes.select("id", "size", F.posexplode("hashes").alias("at", "hash"))
+    shared = members.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    members = written(members.join(shared, "hash"), "members")
+    needed = written(nodes.select("id", "least").join(members.select("id").distinct(), "id"), "needed")
+    texts = took.join(needed.select(F.col("least").alias("_key")), F.col("key").eqNullSafe(F.col("_key")), "left_semi")
+    sets = texts.select(shingle_udf(words, t, whole=True)(F.col("text")).alias("s")).select("s.id", "s.hashes")
+    sets = written(sets.join(needed.select("id"), "id", "left_semi").groupBy("id").agg(F.any_value("hashes").alias("hashes")), "sets")
+    root = roots(near_links(members, sets, t)).withColumnRenamed("node", "id")
+    rooted = written(nodes.select("id", "least").join(root, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_id = rooted.join(named, "root").select("id", "component_id")
-    return marked.withColumn("id", F.xxhash64("sig")).drop("sig").join(by_id, "id").select(F.col("key").alias(key), "component_id")
+    return marked.select("key", "id").join(by_id, "id").select(F.col("key").alias(key), "component_id")
 
 
 def representatives(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
