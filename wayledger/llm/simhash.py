@@ -7,7 +7,7 @@ dynamic programming allots cost the fewest estimated probes and candidates while
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import reduce
 
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 from .components import roots
 
 BITS = 64
@@ -169,9 +169,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int
 
 
 def shingle_udf(words: int, similarity: Fraction, common: np.ndarray | None = None, whole: bool = False):
-    """A column function: text -> (id, size, hashes): the distinct shingles of ``words`` words as 64-bit hashes.
+    """A column function: text -> (id, size, parity, hashes): the distinct shingles of ``words`` words as 64-bit hashes.
 
-    ``id`` is a hash of the whole set and ``size`` how many there are.  ``hashes`` is the part that two sets of this Jaccard
+    ``id`` is a hash of the whole set and ``size`` how many there are.  ``parity`` has, for each of 1,024 classes of hashes,
+    whether the set has an odd number of them: two sets differ in at least as many hashes as their parities in bits.  ``hashes`` is the part that two sets of this Jaccard
     similarity must share one of, or all if ``whole``.  They are ordered by hash, those of ``common`` after all others
     in the order given.  Words and short texts are taken as for the fingerprint.
     """
@@ -179,25 +180,26 @@ def shingle_udf(words: int, similarity: Fraction, common: np.ndarray | None = No
     place = np.argsort(common)
     ordered, p, q = common[place], similarity.numerator, similarity.denominator
 
-    def one(text: str | None) -> tuple[int, int, np.ndarray]:
+    def one(text: str | None) -> tuple[int, int, np.ndarray, np.ndarray]:
         import xxhash
 
         ws = text.encode().lower().split() if text else []
         parts = {b" ".join(s) for s in zip(*(ws[i:] for i in range(words)))} or {b" ".join(ws)}
         h = np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, parts)), ">i8").astype(np.int64))
         name, n = xxhash.xxh64_intdigest(h.tobytes()), len(h)
+        odd = np.packbits(np.bincount(h & 1023, minlength=1024) & 1).view(np.int64)
         if whole:
-            return signed(name), n, h
+            return signed(name), n, odd, h
         if len(ordered):
             at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
             h = h[np.argsort(np.where(ordered[at] == h, place[at], -1), kind="stable")]
-        return signed(name), n, h[: n - -(-p * n // q) + 1]
+        return signed(name), n, odd, h[: n - -(-p * n // q) + 1]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([one(t) for t in texts], columns=["id", "size", "hashes"])
+            yield pd.DataFrame([one(t) for t in texts], columns=["id", "size", "parity", "hashes"])
 
-    return F.pandas_udf(run, "id long, size int, hashes array<long>")
+    return F.pandas_udf(run, "id long, size int, parity array<long>, hashes array<long>")
 
 
 def common_shingles(docs: DataFrame, key: str, text: str, words: int, share: float = 0.05, least: int = 20_000, most: int = 1_000_000) -> np.ndarray:
@@ -209,16 +211,18 @@ def common_shingles(docs: DataFrame, key: str, text: str, words: int, share: flo
     return rows.h.to_numpy(np.int64)[::-1].copy()
 
 
-def near_links(members: DataFrame, sets: DataFrame, similarity: Fraction, few: int = 64, hub_rounds: int = 4) -> DataFrame:
+def near_links(members: DataFrame, parities: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: Fraction, few: int = 64, hub_rounds: int = 4) -> DataFrame:
     """(a, b) such that any two sets of the similarity or more are joined by a path of links, and no others are linked.
 
     ``members`` are the (id, size, at, hash) of each set's leading hashes: two similar sets share one, and at the first they
-    share enough hashes are left behind it in both.  ``sets`` has (id, hashes).  A bucket is all that share a hash.  In each
+    share enough hashes are left behind it in both.  ``parities`` has (id, size, parity); ``sets`` gives (id, hashes) of a
+    frame of ids, and is asked only for pairs whose parities allow the similarity.  A bucket is all that share a hash.  In each
     round all of a bucket are compared with its hub, the member of least hash, which then leaves: all its pairs are
     decided.  Pairs that a path already joins need no comparison, so a bucket of near copies is done after a round or two.
     From the second round on small buckets, and after ``hub_rounds`` all, compare every pair that no path joins.
     """
     p, q = similarity.numerator, similarity.denominator
+    apart = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(16)), F.lit(0))
     pending, found, tested, turn = members.withColumn("root", F.col("id")), None, None, 0
     while True:
         hub = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "size", "at", "root")).alias("hub")
@@ -239,9 +243,13 @@ def near_links(members: DataFrame, sets: DataFrame, similarity: Fraction, few: i
             each = two.join(x, ["hash", "ra"]).join(y, ["hash", "rb"]).where(enough("x", "y"))
             pairs = pairs.unionByName(each.select(*ends("x", "y")))
         pairs = pairs.distinct()
+        x = parities.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("parity").alias("x"))
+        y = parities.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("parity").alias("y"))
+        pairs = pairs.join(x, "a").join(y, "b").where(apart * (p + q) <= (q - p) * (F.col("size_a") + F.col("size_b"))).select("a", "b")
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+        whole_sets = written(sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
+        both = pairs.join(whole_sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(whole_sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
         near = written(both.where(F.size(F.array_intersect("x", "y")) * (p + q) >= p * (F.size("x") + F.size("y"))).select("a", "b"), "near")
         found = near if found is None else found.unionByName(near)
         left = live.where(~whole & (F.col("id") != F.col("hub.id"))).select("hash", "id", "size", "at")
@@ -253,22 +261,24 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     """(key, component_id) of every row: texts whose shingles are similar link, classes are named by least key.
 
     Similarity is the Jaccard similarity of the sets of ``words``-word shingles, compared by their 64-bit hashes: no pair is
-    missed and none below is linked.  Equal sets are one node.  ``docs`` is read three times.
+    missed and none below is linked.  Equal sets are one node.  ``docs`` is read again in each round.
     Null keys, repeated rows and other columns as in ``classes``; all texts without words are alike.
     """
     t, took = Fraction(str(similarity)), docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     first = shingle_udf(words, t, common_shingles(took, "key", "text", words))(F.col("text"))
     marked = written(took.select("key", first.alias("s")).select("key", "s.*"), "shingles")
     # 64-bit names of sets: should two share one, their classes would merge
-    nodes = written(marked.groupBy("id").agg(F.min("key").alias("least"), F.any_value("size").alias("size"), F.any_value("hashes").alias("hashes")), "nodes")
+    nodes = written(marked.groupBy("id").agg(F.min("key").alias("least"), F.any_value("size").alias("size"), F.any_value("parity").alias("parity"), F.any_value("hashes").alias("hashes")), "nodes")
     members = nodes.select("id", "size", F.posexplode("hashes").alias("at", "hash"))
     shared = members.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     members = written(members.join(shared, "hash"), "members")
-    needed = written(nodes.select("id", "least").join(members.select("id").distinct(), "id"), "needed")
-    texts = took.join(needed.select(F.col("least").alias("_key")), F.col("key").eqNullSafe(F.col("_key")), "left_semi")
-    sets = texts.select(shingle_udf(words, t, whole=True)(F.col("text")).alias("s")).select("s.id", "s.hashes")
-    sets = written(sets.join(needed.select("id"), "id", "left_semi").groupBy("id").agg(F.any_value("hashes").alias("hashes")), "sets")
-    root = roots(near_links(members, sets, t)).withColumnRenamed("node", "id")
+
+    def sets(ids: DataFrame) -> DataFrame:
+        keys = small(nodes.select("id", "least").join(ids, "id").select(F.col("least").alias("_key")).distinct(), 500_000)
+        texts = took.join(keys, F.col("key").eqNullSafe(F.col("_key")), "left_semi")
+        return texts.select(shingle_udf(words, t, whole=True)(F.col("text")).alias("s")).groupBy("s.id").agg(F.any_value("s.hashes").alias("hashes"))
+
+    root = roots(near_links(members, nodes.select("id", "size", "parity"), sets, t)).withColumnRenamed("node", "id")
     rooted = written(nodes.select("id", "least").join(root, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_id = rooted.join(named, "root").select("id", "component_id")
