@@ -128,6 +128,22 @@ def test_url_model_is_a_ratio_of_probabilities(spark):
     assert got / urls.MICRO == pytest.approx(want, abs=1e-4)
 
 
+def test_url_model_keeps_what_is_rare_in_much_text(spark):
+    rng = random.Random(31)
+    made = ["http://a.net/" + "".join(rng.choice("abcdefgh") for _ in range(27)) for _ in range(6000)] + [f"http://b.org/{k}qzx" for k in range(3)]
+    d = spark.createDataFrame([(u, i % 2 == 0) for i, u in enumerate(made)], "u string, accepted boolean")
+    model = common.written(urls.model(d), "model")
+    values = {r.g: r.value for r in model.collect()}
+    marked = [urls.START + u + urls.END for u in made]
+    seen = Counter(m[i : i + n] for m in marked for n in range(1, 5) for i in range(len(m) - n + 1))
+    assert {"qz", "qzx", "qzx" + urls.END} <= set(values) == {g for g, n in seen.items() if n > 1}
+    assert 0 < model.where("not hot").count()
+    for r in urls.scored(d, model).collect():
+        m = urls.START + r.u + urls.END
+        want = sum(values.get(m[i : i + n], 0) for n in range(1, 5) for i in range(len(m) - n + 1))
+        assert r.score == pytest.approx(want / urls.MICRO / (len(r.u) + 1), abs=1e-12)
+
+
 def brute_measures(text):
     t = text or ""
     ws = re.findall(r"[^\x20\x09-\x0D]+", t)

@@ -50,24 +50,24 @@ def grams(urls: DataFrame, order: int) -> DataFrame:
     return at.select(*[c for c in urls.columns if c != "u"], "u", F.explode(F.array_compact(F.array(*pieces))).alias("g"))
 
 
-def model(labelled: DataFrame, order: int = 4, prior: float = 8.0, max_per_order: int = 50_000, alphabet: int = 256) -> DataFrame:
-    """(g, value) from (u, accepted): what each occurrence of ``g`` adds to a URL's log-likelihood difference, in micronats.
+def model(labelled: DataFrame, order: int = 4, prior: float = 8.0, hot_per_order: int = 50_000, alphabet: int = 256) -> DataFrame:
+    """(g, value, hot) from (u, accepted): what each occurrence of ``g`` adds to a URL's log-likelihood difference, in micronats.
 
-    P(c | x) = (n(xc) + prior P(c | x without its first character)) / (n(x) + prior), down to even chances.  A substring
-    is kept if it is seen twice and makes up at least one in ``max_per_order`` of its length's occurrences, so the table
-    has at most ``order`` x ``max_per_order`` rows whatever the input.  Where a kept context is followed by a character
-    not kept after it, the shorter context decides; the terms are arranged so that a URL's score is one sum.
+    P(c | x) = (n(xc) + prior P(c | x without its first character)) / (n(x) + prior), down to even chances.  Every substring
+    seen twice is kept, so the table grows with the input; ``hot`` are those that make up at least one in
+    ``hot_per_order`` of their length's occurrences, so at most ``order`` x ``hot_per_order``.  Where a kept context is followed by a
+    character not kept after it, the shorter context decides; the terms are arranged so that a URL's score is one sum.
     """
     counts = grams(labelled, order).groupBy("g").agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r")).withColumn("n", F.length("g"))
     counts = written(counts, "url-grams")
     sizes = {r.n: (r.a, r.r) for r in counts.where(F.col("g") != START).groupBy("n").agg(F.sum("a").alias("a"), F.sum("r").alias("r")).collect()}
-    least = F.coalesce(*[F.when(F.col("n") == n, F.lit(max(2.0, sum(s) / max_per_order))) for n, s in sizes.items()], F.lit(2.0))
-    kept = counts.where(F.col("a") + F.col("r") >= least)
+    least = F.coalesce(*[F.when(F.col("n") == n, F.lit(sum(s) / hot_per_order)) for n, s in sizes.items()], F.lit(0.0))
+    kept = counts.where("a + r >= 2").withColumn("hot", F.col("a") + F.col("r") >= least)
     na, nr = sizes.get(1, (0, 0))
     even = prior / alphabet
     back = F.when(F.col("g").endswith(END), 0.0).otherwise(F.log(F.col("r") + prior) - F.log(F.col("a") + prior))
     kept = kept.withColumn("back", back)
-    level = kept.where("n = 1").select("g", "a", "r", "back", ((F.col("a") + even) / (na + prior)).alias("pa"), ((F.col("r") + even) / (nr + prior)).alias("pr"))
+    level = kept.where("n = 1").select("g", "a", "r", "back", "hot", ((F.col("a") + even) / (na + prior)).alias("pa"), ((F.col("r") + even) / (nr + prior)).alias("pr"))
     own = F.when(F.col("g") == START, 0.0).otherwise(F.log("pa") - F.log("pr"))
     level = written(level.withColumn("delta", own), "url-model")
     out = level
@@ -82,17 +82,22 @@ def model(labelled: DataFrame, order: int = 4, prior: float = 8.0, max_per_order
         level = written(grown.withColumn("delta", delta).select(*out.columns), "url-model")
         out = out.unionByName(level)
     behind = F.when(F.length("g") < order, F.col("back")).otherwise(0.0)  # the longest substrings are no contexts
-    return out.select("g", F.round((F.col("delta") + behind) * MICRO).cast("long").alias("value"))
+    return out.select("g", F.round((F.col("delta") + behind) * MICRO).cast("long").alias("value"), "hot")
 
 
 def scored(urls: DataFrame, values: DataFrame, order: int = 4) -> DataFrame:
     """(u, score): the mean log-likelihood difference a character, in nats, of the distinct ``u``; above 0 likelier accepted.
 
-    The model is broadcast: its size is bounded by construction.
+    The hot part of the model is broadcast, its size is bounded by construction; other substrings meet theirs in a shuffle.
     """
     # few bytes become many rows, so the number of tasks is set here instead of by the bytes shuffled
     tasks = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = grams(urls.select("u").repartition(tasks, "u").distinct(), order).join(F.broadcast(values), "g", "left").groupBy("u").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("total"))
+    once = written(urls.select("u").repartition(tasks, "u").distinct().withColumn("id", F.monotonically_increasing_id()), "urls")
+    hot, other = F.broadcast(values.where("hot").select("g", F.col("value").alias("known"))), values.where("not hot").select("g", "value")
+    looked = grams(once.repartition(tasks, "id"), order).select("id", "g").join(hot, "g", "left")
+    known = looked.groupBy("id").agg(F.coalesce(F.sum("known"), F.lit(0)).alias("value"))
+    rest = looked.where("known is null").select("id", "g").join(other, "g").groupBy("id").agg(F.sum("value").alias("value"))
+    total = known.unionByName(rest).groupBy("id").agg(F.sum("value").alias("total")).join(once, "id")
     return total.select("u", (F.col("total") / MICRO / (F.length("u") + 1)).alias("score"))
 
 
