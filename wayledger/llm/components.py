@@ -32,3 +32,17 @@ def roots(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         step = parent.select(F.col("node").alias("root"), F.col("parent").alias("next"))
         out = out.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     return out
+
+
+def joined(edges: DataFrame, before: DataFrame | None) -> DataFrame:
+    """``roots`` of some (a, b) together with the edges that ``before``, its result for others, stands for; written."""
+    if before is None:
+        return written(roots(edges), "roots")
+    ends = [before.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b")]
+    between = edges.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    step = written(roots(between), "steps")
+    if step.isEmpty():
+        return before
+    onward = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    moved = before.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return written(moved.unionByName(step.join(before, "node", "left_anti")), "roots")

@@ -13,11 +13,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
-from .components import roots
+from .common import discard, in_small_batches, small, written
+from .components import joined, roots
 
 BITS = 64
 
@@ -159,7 +160,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int
     Equal fingerprints are one node, however many rows share them.  Null keys take part but name no class, unless a
     class has no other key; repeated rows stay; other columns are ignored.
     """
-    marked = written(docs.select(F.col(key).alias("key"), fingerprint_udf(shingle, seed)(F.col(text)).alias("fp")), "fingerprints")
+    marked = written(in_small_batches(docs).select(F.col(key).alias("key"), fingerprint_udf(shingle, seed)(F.col(text)).alias("fp")), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
     root = roots(links(nodes.select("fp"), reach)).withColumnRenamed("node", "fp")
     rooted = written(nodes.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
@@ -168,6 +169,30 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int
     return marked.join(by_fp, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
+class WordHashes(dict):
+    """The XXH64 of words, each worked out once while it is held."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        self[word] = out = xxhash.xxh64_intdigest(word)
+        return out
+
+
+def shingle_hashes(ws: list[bytes], words: int, known: dict[bytes, int]) -> np.ndarray:
+    """64-bit hashes of the shingles of ``words`` words, one after the other; of fewer words, the one of them all.
+
+    A shingle's is a polynomial over the hashes of its words, mixed.
+    """
+    h = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
+    span, out = min(words, len(ws)), np.zeros(max(len(ws) - words, 0) + 1, np.uint64)
+    for i in range(span):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)] + np.uint64(1)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return (out ^ out >> np.uint64(32)).view(np.int64)
+
+
 def shingle_udf(words: int, similarity: Fraction, common: np.ndarray | None = None, whole: bool = False):
     """A column function: text -> (id, size, parity, hashes): the distinct shingles of ``words`` words as 64-bit hashes.
 
@@ -179,13 +204,12 @@ def shingle_udf(words: int, similarity: Fraction, common: np.ndarray | None = No
     common = np.zeros(0, np.int64) if common is None else common
     place = np.argsort(common)
     ordered, p, q = common[place], similarity.numerator, similarity.denominator
+    known = WordHashes()
 
     def one(text: str | None) -> tuple[int, int, np.ndarray, np.ndarray]:
         import xxhash
 
-        ws = text.encode().lower().split() if text else []
-        parts = {b" ".join(s) for s in zip(*(ws[i:] for i in range(words)))} or {b" ".join(ws)}
-        h = np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, parts)), ">i8").astype(np.int64))
+        h = np.unique(shingle_hashes(text.encode().lower().split() if text else [], words, known))
         name, n = xxhash.xxh64_intdigest(h.tobytes()), len(h)
         odd = np.packbits(np.bincount(h & 1023, minlength=1024) & 1).view(np.int64)
         if whole:
@@ -198,11 +222,13 @@ def shingle_udf(words: int, similarity: Fraction, common: np.ndarray | None = No
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([one(t) for t in texts], columns=["id", "size", "parity", "hashes"])
+            if len(known) > 200_000:  # what a worker holds is bounded
+                known.clear()
 
     return F.pandas_udf(run, "id long, size int, parity array<long>, hashes array<long>")
 
 
-def common_shingles(docs: DataFrame, key: str, text: str, words: int, share: float = 0.05, least: int = 20_000, most: int = 1_000_000) -> np.ndarray:
+def common_shingles(docs: DataFrame, key: str, text: str, words: int, share: float = 0.02, least: int = 8_000, most: int = 1_000_000) -> np.ndarray:
     """Hashes of shingles that several texts of a sample have, rarest first.  They only order the shingles: any list gives the same links."""
     n = max(1, docs.count())
     sample = docs.where((F.xxhash64(F.lit(7), key) / 2.0**64 + 0.5) < max(share, least / n))
@@ -211,8 +237,60 @@ def common_shingles(docs: DataFrame, key: str, text: str, words: int, share: flo
     return rows.h.to_numpy(np.int64)[::-1].copy()
 
 
-def near_links(members: DataFrame, parities: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: Fraction, few: int = 64, hub_rounds: int = 4) -> DataFrame:
-    """(a, b) such that any two sets of the similarity or more are joined by a path of links, and no others are linked.
+#: A leading shingle of a set: its hash, the set's id and size, and its place in the set's order.
+LEAD = np.dtype([("hash", "<i8"), ("id", "<i8"), ("size", "<i4"), ("at", "<i4")])
+MEMBERS = "hash long, id long, size int, at int"
+
+
+def shared_leads(sets: DataFrame, common: np.ndarray, leads_per_bucket: int = 400_000) -> DataFrame:
+    """(hash, id, size, at) of those leading hashes of (id, size, hashes) that several sets have.
+
+    Most hashes are of one set only.  All are dealt out by hash, packed, so that each crosses the shuffle once in 24
+    bytes; a bucket gives back what its sets share.  Those of ``common`` are known to be shared: they are dealt out by set
+    and given back as they are, so that a hash of very many sets doesn't meet in one bucket.
+    """
+    spark, ordered = sets.sparkSession, np.sort(common)
+    leads = sets.agg(F.sum(F.size("hashes").cast("long"))).first()[0] or 0
+    buckets = max(leads // leads_per_bucket + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, first = np.unique(batch.column(0).to_numpy(), return_index=True)  # of equal sets one is enough
+            batch = batch.take(pa.array(first))
+            lists = batch.column(2)
+            n = np.diff(lists.offsets.to_numpy())
+            e = np.zeros(n.sum(), LEAD)
+            e["hash"], e["id"], e["size"] = lists.flatten().to_numpy(), np.repeat(ids, n), np.repeat(batch.column(1).to_numpy(), n)
+            e["at"] = np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n)
+            known = ordered[np.minimum(np.searchsorted(ordered, e["hash"]), len(ordered) - 1)] == e["hash"] if len(ordered) else np.zeros(len(e), bool)
+            to = np.where(known, e["id"], e["hash"]).view("<u8") % np.uint64(buckets) * np.uint64(2) + known
+            order = np.argsort(to, kind="stable")
+            e, to = e[order], to[order]
+            cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to)) if len(to) else np.zeros(1, int)
+            names = ["bucket", "known", "leads"]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(to[cuts[:-1]] // 2, pa.int32()), pa.array(to[cuts[:-1]] % 2 == 1), pa.array([e[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names
+            )
+
+    def once(e: np.ndarray) -> np.ndarray:
+        """By hash, of each set's entries for it one."""
+        e = e[np.lexsort((e["id"], e["hash"]))]
+        return e[np.append(True, (e["hash"][1:] != e["hash"][:-1]) | (e["id"][1:] != e["id"][:-1]))] if len(e) else e
+
+    def keep(table: pa.Table) -> pa.Table:
+        known = table.column("known").to_numpy(zero_copy_only=False)
+        packed = table.column("leads").to_pylist()
+        new, old = (once(np.frombuffer(b"".join(x for x, k in zip(packed, known) if k == wanted), LEAD)) for wanted in (False, True))
+        same = new["hash"][1:] == new["hash"][:-1]
+        e = np.concatenate([new[np.append(False, same) | np.append(same, False)] if len(new) else new, old])
+        return pa.table([pa.array(np.ascontiguousarray(e[c])) for c in LEAD.names], names=LEAD.names)
+
+    dealt = sets.select("id", "size", "hashes").mapInArrow(deal, "bucket int, known boolean, leads binary")
+    return dealt.groupBy("bucket").applyInArrow(keep, MEMBERS)
+
+
+def near_roots(members: DataFrame, parities: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: Fraction, few: int = 64, hub_rounds: int = 4) -> DataFrame:
+    """(node, root): equal roots for sets joined by a path of pairs of the similarity or more; only sets in such a pair appear.
 
     ``members`` are the (id, size, at, hash) of each set's leading hashes: two similar sets share one, and at the first they
     share enough hashes are left behind it in both.  ``parities`` has (id, size, parity); ``sets`` gives (id, hashes) of a
@@ -223,13 +301,13 @@ def near_links(members: DataFrame, parities: DataFrame, sets: Callable[[DataFram
     """
     p, q = similarity.numerator, similarity.denominator
     apart = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(16)), F.lit(0))
-    pending, found, tested, turn = members.withColumn("root", F.col("id")), None, None, 0
+    pending, rooted, tested, turn = members.withColumn("root", F.col("id")), None, None, 0
     while True:
         hub = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "size", "at", "root")).alias("hub")
         open_ = pending.groupBy("hash").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), hub).where("lo <> hi")
         live = written(pending.join(open_.drop("lo", "hi"), "hash"), "live")
         if live.isEmpty():
-            return members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0) if found is None else found
+            return members.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0) if rooted is None else rooted
         whole = F.lit(False) if turn == 0 else F.col("n") <= few if turn < hub_rounds else F.lit(True)
         enough = lambda x, y: F.least(F.col(f"{x}.size") - F.col(f"{x}.at"), F.col(f"{y}.size") - F.col(f"{y}.at")) * (p + q) >= p * (F.col(f"{x}.size") + F.col(f"{y}.size"))
         ends = lambda x, y: (F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b"))
@@ -250,10 +328,11 @@ def near_links(members: DataFrame, parities: DataFrame, sets: Callable[[DataFram
         tested = pairs if tested is None else tested.unionByName(pairs)
         whole_sets = written(sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
         both = pairs.join(whole_sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(whole_sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-        near = written(both.where(F.size(F.array_intersect("x", "y")) * (p + q) >= p * (F.size("x") + F.size("y"))).select("a", "b"), "near")
-        found = near if found is None else found.unionByName(near)
+        near = both.where(F.size(F.array_intersect("x", "y")) * (p + q) >= p * (F.size("x") + F.size("y"))).select("a", "b")
+        rooted = joined(written(near, "near"), rooted)
+        discard(whole_sets)
         left = live.where(~whole & (F.col("id") != F.col("hub.id"))).select("hash", "id", "size", "at")
-        pending = left.join(roots(found).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        pending = left.join(rooted.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         turn += 1
 
 
@@ -264,21 +343,20 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     missed and none below is linked.  Equal sets are one node.  ``docs`` is read again in each round.
     Null keys, repeated rows and other columns as in ``classes``; all texts without words are alike.
     """
-    t, took = Fraction(str(similarity)), docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    first = shingle_udf(words, t, common_shingles(took, "key", "text", words))(F.col("text"))
+    t, took = Fraction(str(similarity)), in_small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    common = common_shingles(took, "key", "text", words)
+    first = shingle_udf(words, t, common)(F.col("text"))
     marked = written(took.select("key", first.alias("s")).select("key", "s.*"), "shingles")
     # 64-bit names of sets: should two share one, their classes would merge
-    nodes = written(marked.groupBy("id").agg(F.min("key").alias("least"), F.any_value("size").alias("size"), F.any_value("parity").alias("parity"), F.any_value("hashes").alias("hashes")), "nodes")
-    members = nodes.select("id", "size", F.posexplode("hashes").alias("at", "hash"))
-    shared = members.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    members = written(members.join(shared, "hash"), "members")
+    nodes = written(marked.groupBy("id").agg(F.min("key").alias("least"), F.any_value("size").alias("size"), F.any_value("parity").alias("parity")), "nodes")
+    members = written(shared_leads(marked, common), "members")
 
     def sets(ids: DataFrame) -> DataFrame:
         keys = small(nodes.select("id", "least").join(ids, "id").select(F.col("least").alias("_key")).distinct(), 500_000)
         texts = took.join(keys, F.col("key").eqNullSafe(F.col("_key")), "left_semi")
         return texts.select(shingle_udf(words, t, whole=True)(F.col("text")).alias("s")).groupBy("s.id").agg(F.any_value("s.hashes").alias("hashes"))
 
-    root = roots(near_links(members, nodes.select("id", "size", "parity"), sets, t)).withColumnRenamed("node", "id")
+    root = near_roots(members, nodes.select("id", "size", "parity"), sets, t).withColumnRenamed("node", "id")
     rooted = written(nodes.select("id", "least").join(root, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_id = rooted.join(named, "root").select("id", "component_id")
