@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 UNKNOWN = "<unk>"
 
 
@@ -144,7 +146,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", t
         for texts in batches:
             yield pa.concat_arrays([_id_lists(encoder, t) for t in _pieces(texts)])
 
-    return docs.select(key, ids(F.col(text)).alias("ids"))
+    return in_small_batches(docs).select(key, ids(F.col(text)).alias("ids"))
 
 
 def decode(encoded: DataFrame, rank_file: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -161,7 +163,7 @@ def decode(encoded: DataFrame, rank_file: str, key: str = "doc_id", ids: str = "
                 parts += decoder.decode(a.flatten().to_numpy(), ends)
             yield pa.array(parts, pa.binary())
 
-    return encoded.select(key, decoded(F.coalesce(ids, F.array().cast("array<int>"))).alias("decoded"))
+    return in_small_batches(encoded).select(key, decoded(F.coalesce(ids, F.array().cast("array<int>"))).alias("decoded"))
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,7 +181,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id
                 decoded += decoder.decode(ids[-1].values.to_numpy(), ids[-1].offsets.to_numpy())
             yield pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.array(decoded, pa.binary())], ["ids", "decoded"])
 
-    return docs.select(key, both(F.col(text)).alias("_b")).select(key, "_b.ids", "_b.decoded")
+    return in_small_batches(docs).select(key, both(F.col(text)).alias("_b")).select(key, "_b.ids", "_b.decoded")
 
 
 def with_digests(both: DataFrame) -> DataFrame:

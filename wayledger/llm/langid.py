@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 UNDETERMINED = "und"
 MAX_LANGUAGES = 256
 
@@ -87,5 +89,5 @@ def classify(dictionaries: dict[str, bytes], min_margin: float = 0.01, block: in
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], key: str = "doc_id", text: str = "text", keep: tuple[Column | str, ...] = (), **options) -> DataFrame:
     """key, kept columns, lang_pred, score, confident and margin for every row; repeated rows stay, other columns go."""
-    out = docs.select(key, *keep, classify(dictionaries, **options)(F.col(text)).alias("_p"))
+    out = in_small_batches(docs).select(key, *keep, classify(dictionaries, **options)(F.col(text)).alias("_p"))
     return out.select(*out.columns[:-1], F.col("_p.lang").alias("lang_pred"), "_p.score", "_p.confident", "_p.margin")

@@ -13,10 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_small_batches, written
 
 K = 24  # bytes of a k-gram; half the windows' length or less
 DEPTH = 8  # bytes compared at a time
@@ -43,6 +44,8 @@ def hashes(text: np.ndarray, sizes: tuple[int, ...], seed: int) -> list[np.ndarr
 
     while 2 * h <= max(sizes):
         power[2 * h] = join(power[h], power[h], h, h)
+        if not any(size & h for size in sizes):
+            del power[h]
         h *= 2
     out = []
     for size in sizes:
@@ -238,6 +241,7 @@ def _arrow(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Recor
 
 
 ROUTED_ARROW = [("bucket", pa.int32()), ("doc", pa.int64()), ("h", pa.int32()), ("entries", pa.binary()), ("spans", pa.binary())]
+PIECE_ARROW = [("bucket", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("h", pa.int32()), ("start", pa.int32()), ("text", pa.binary())]
 RESOLVED_ARROW = [("doc", pa.int64()), ("h", pa.int32()), ("spans", pa.binary()), ("requests", pa.binary())]
 
 
@@ -250,7 +254,7 @@ def by_document(e: np.ndarray, length: int) -> Iterator[tuple[int, int, bytes]]:
         yield int(part["doc"][0]), int(part["h"][0]), _spans(part["start"], part["start"] + part["n"] - 1 + length).tobytes()
 
 
-def router(length: int, buckets: int, heavy: np.ndarray, held: int = 400_000, chunk: int = 1 << 20):
+def router(length: int, buckets: int, heavy: np.ndarray, held: int = 200_000, chunk: int = 1 << 18):
     """The map side: documents to their segments, packed by bucket.
 
     Of equal segments met by a task within ``held`` segments only the earliest goes on; the others are removed already.
@@ -272,15 +276,14 @@ def router(length: int, buckets: int, heavy: np.ndarray, held: int = 400_000, ch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
         for batch in batches:
-            doc, h, text = (batch.column(i).to_pylist() for i in range(3))
+            doc, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            upto = np.cumsum(pc.binary_length(batch.column(2)).to_numpy().astype(np.int64))
             at = 0
             while at < len(doc):
-                end, size = at, 0
-                while end < len(doc) and size < chunk:
-                    size += len(text[end])
-                    end += 1
-                e = segments([t.encode() for t in text[at:end]], length, heavy)
-                e["h"], e["doc"] = np.array(h[at:end], "<i4")[e["doc"]], np.array(doc[at:end], "<i8")[e["doc"]]
+                # texts of ``chunk`` bytes together, or one longer text
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + chunk, "right")))
+                e = segments(batch.column(2)[at:end].cast(pa.binary()).to_pylist(), length, heavy)
+                e["h"], e["doc"] = h[at:end][e["doc"]], doc[at:end][e["doc"]]
                 parts.append(e)
                 n += len(e)
                 at = end
@@ -351,8 +354,8 @@ def heavy_grams(keyed: DataFrame, length: int, rows: int, sample: int = 5000) ->
     every = max(1, rows // sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            e = segments([t.encode() for t in batch.column(0).to_pylist()], length, np.zeros(0, np.uint64))
+        for part in (batch.slice(at, 64) for batch in batches for at in range(0, len(batch), 64)):
+            e = segments(part.column(0).cast(pa.binary()).to_pylist(), length, np.zeros(0, np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(e["key"].view("<i8")), pa.array(e["seg"].view("<i8"))], ["key", "seg"])
 
     picked = keyed.where(F.pmod(F.xxhash64("doc"), F.lit(every)) == 0).select("text")
@@ -368,7 +371,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     """
     spark = docs.sparkSession
     h = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    keyed = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    keyed = in_small_batches(docs).select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = keyed.where(F.octet_length("text") >= length).select("doc", h.alias("h"), "text")
     total, rows = keyed.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count("*")).first()
     per_entry = (length - K + 2) / 2  # bytes of text to a segment, on random text
@@ -380,13 +383,18 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, rows = batch.schema.names, []
-            for doc, h_, t, asks in zip(*(batch.column(names.index(c)).to_pylist() for c in ("doc", "h", "text", "requests"))):
-                raw = t.encode()
-                for ask in np.frombuffer(b"".join(asks), REQUEST).tolist():
-                    rows.append((ask[0] % buckets, ask[0] - (ask[0] >> 63 << 64), doc, h_, ask[1], raw[ask[1] : ask[1] + ask[2] - 1 + length]))
-            for at in range(0, len(rows), 10_000):
-                yield _arrow([("bucket", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("h", pa.int32()), ("start", pa.int32()), ("text", pa.binary())], rows[at : at + 10_000])
+            rows, size = [], 0
+            doc, h_, texts, asked = (batch.column(c) for c in ("doc", "h", "text", "requests"))
+            for i in range(len(batch)):
+                raw = texts[i].as_py().encode()
+                for ask in np.frombuffer(b"".join(asked[i].as_py()), REQUEST).tolist():
+                    rows.append((ask[0] % buckets, ask[0] - (ask[0] >> 63 << 64), doc[i].as_py(), h_[i].as_py(), ask[1], raw[ask[1] : ask[1] + ask[2] - 1 + length]))
+                    size += ask[2] + length
+                    if size >= 1 << 20:
+                        yield _arrow(PIECE_ARROW, rows)
+                        rows, size = [], 0
+            if rows:
+                yield _arrow(PIECE_ARROW, rows)
 
     pieces = keyed.join(wanted, ["doc", "h"]).mapInArrow(cut_out, "bucket int, key long, doc long, h int, start int, text binary")
     # equal rows of the input ask twice for the same piece
@@ -394,8 +402,9 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     return resolved.unionByName(found).where("spans is not null").groupBy("doc", "h").agg(F.collect_list("spans").alias("spans"))
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, kept columns, spans array<struct(start, end)>, kept binary) of every row.
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, keep: tuple[str, ...] = (), spans: str = "spans", kept: str = "kept", readable: str | None = None) -> DataFrame:
+    """(key, kept columns, spans array<struct(start, end)>, kept binary) of every row; ``spans`` and ``kept`` name the last two.
+    With ``readable``, the whole characters among the kept bytes are one more column of that name.
 
     Every byte covered by a ``length``-byte string that also starts earlier (in a document of smaller key, or further
     left in the same one) is removed; strings are judged on the input.  ``spans`` are the maximal removed runs as byte
@@ -403,9 +412,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     that repeat a key with different texts are ordered by a hash of the text, rows equal in both are one document and get
     the same result.  Other columns are ignored.
     """
-    d = docs.select(
+    d = in_small_batches(docs).select(
         F.col(key).alias("_key"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"),
-        *[F.col(c).alias(f"_keep_{c}") for c in keep],
+        *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)],
     ).withColumn("_h", F.xxhash64("_text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     gone = removed(docs, key, text, length).select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
 
@@ -414,22 +423,14 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
             rows = []
             for t, blobs in zip(texts, packed):
                 raw = t.encode()
-                spans = np.frombuffer(b"".join(blobs), "<i4").reshape(-1, 2) if blobs is not None else np.zeros((0, 2), int)
-                spans = _spans(spans[:, 0], spans[:, 1]).tolist()
-                edges = [0, *(x for s in spans for x in s), len(raw)]
-                rows.append(([{"start": a, "end": b} for a, b in spans], b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))))
-            yield pd.DataFrame(rows, columns=["spans", "kept"])
-
-    cut = F.pandas_udf(run, "spans array<struct<start:int,end:int>>, kept binary")
+                cuts = np.frombuffer(b"".join(blobs), "<i4").reshape(-1, 2) if blobs is not None else np.zeros((0, 2), int)
+                cuts = _spans(cuts[:, 0], cuts[:, 1]).tolist()
+                edges = [0, *(x for s in cuts for x in s), len(raw)]
+                left = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                rows.append(([{"start": a, "end": b} for a, b in cuts], left, left.decode(errors="ignore") if readable else None))
+            yield pd.DataFrame(rows, columns=["spans", "kept", "readable"])
+
+    # one function for all, as a second one in the same task would be a second Python worker
+    cut = F.pandas_udf(run, "spans array<struct<start:int,end:int>>, kept binary, readable string")
     out = d.join(gone, ["_doc", "_h"], "left").withColumn("_r", cut("_text", "_spans"))
-    return out.select(F.col("_key").alias(key), *[F.col(f"_keep_{c}").alias(c) for c in keep], "_r.spans", "_r.kept")
-
-
-def readable(kept: str):
-    """A string column of the whole characters among kept bytes."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for parts in batches:
-            yield pd.Series([bytes(b).decode(errors="ignore") for b in parts], dtype=object)
-
-    return F.pandas_udf(run, "string")(F.col(kept))
+    return out.select(F.col("_key").alias(key), *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], F.col("_r.spans").alias(spans), F.col("_r.kept").alias(kept), *([F.col("_r.readable").alias(readable)] if readable else []))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import agreed_labels, sample_ids
+from .common import agreed_labels, in_small_batches, sample_ids
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"\w+")
@@ -136,5 +136,5 @@ def judge_udf(model: Model, locate_at: float = 0.5):
 
 def judge(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple = ()) -> DataFrame:
     """key, kept columns, score and the offending sentences of every row; repeated rows stay, other columns go."""
-    out = docs.select(key, *keep, judge_udf(model)(F.col(text)).alias("_j"))
+    out = in_small_batches(docs).select(key, *keep, judge_udf(model)(F.col(text)).alias("_j"))
     return out.select(*out.columns[:-1], "_j.score", "_j.offending")
