@@ -1,6 +1,7 @@
 """Operators on small literal tables."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,3 +191,14 @@ def test_cox_finds_the_sign(spark):
 def test_isolation_forest_flags_the_far_point(spark):
     d = spark.createDataFrame([(i, float(i % 10), float(i % 7)) for i in range(300)] + [(999, 500.0, -400.0)], "k long, a double, b double")
     assert models.isolation(d, ["a", "b"], trees=30, contamination=0.01).orderBy(F.desc("score")).first().k == 999
+
+
+def test_concordance_counts_every_pair(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(1, 12)]), rng.random() < 0.6, rng.choice([None, -2.5, 0.0, 0.25, 3.0, rng.random()])) for _ in range(150)]
+    kept = [r for r in rows if r[0] is not None and r[2] is not None]
+    want = [(a[2] > b[2]) + (a[2] == b[2]) / 2 for a in kept if a[1] for b in kept if a[0] < b[0]]
+    got = models.concordance(spark.createDataFrame(rows, "t int, e boolean, s double"), "t", "e", "s").first()
+    assert got.pairs == len(want) and abs(got.concordance - sum(want) / len(want)) < 1e-12
+    none = models.concordance(spark.createDataFrame([], "t int, e boolean, s double"), "t", "e", "s").collect()
+    assert [tuple(r) for r in none] == [(0, None)]

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..sources.tables import stored
+
 
 def clustered(df: DataFrame, vector: str, ks: list[int], seed: int = 42) -> tuple[DataFrame, int, dict[int, float]]:
     """The rows with a ``cluster``, for the number of clusters of best silhouette, and all silhouettes."""
@@ -160,14 +162,30 @@ def risk_bands(df: DataFrame, predicted: str, actual: str, edges: tuple[float, .
     return df.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.avg(predicted).alias("predicted"), F.avg(F.col(actual).cast("double")).alias("actual"))
 
 
-def concordance(df: DataFrame, key: str, days: str, event: str, score: str, sample: int = 2000) -> DataFrame:
-    """One row (pairs, concordance): how often the earlier event has the higher score, ties half.
+def concordance(df: DataFrame, days: str, event: str, score: str) -> DataFrame:
+    """One row (pairs, concordance): how often, of an event and a later row, the event has the higher score, ties half.
 
-    Compared are the pairs of a documented sample, the ``sample`` rows of smallest hash, so the work stays bounded.
+    All pairs count, none is made.  The scores' ranks are numbers; of two of them the higher has a one in the highest bit in
+    which they differ, where all bits above agree.  So for each bit, rows are summed by the bits above it, by day and by the
+    bit itself, and a running sum over the days pairs ones with later zeros.  No window has more rows than there are days.
+    Rows without days or score are left out; without pairs the concordance is null.
     """
-    d = df.where(F.col(days).isNotNull() & F.col(score).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample)
-    d = d.select(F.col(days).alias("t"), F.col(event).cast("int").alias("e"), F.col(score).alias("s"))
-    a, b = d.where("e = 1").select(F.col("t").alias("ta"), F.col("s").alias("sa")), d.select(F.col("t").alias("tb"), F.col("s").alias("sb"))
-    pairs = a.join(F.broadcast(b), F.col("ta") < F.col("tb"))
-    right = F.when(F.col("sa") > F.col("sb"), 1.0).when(F.col("sa") == F.col("sb"), 0.5).otherwise(0.0)
-    return pairs.agg(F.count("*").alias("pairs"), F.avg(right).alias("concordance"))
+    d = df.where(F.col(days).isNotNull() & F.col(score).isNotNull()).select(F.col(days).alias("t"), (F.col(event).cast("int") == 1).cast("long").alias("e"), F.col(score).cast("double").alias("s"))
+    d = stored(d.groupBy("t", "s").agg(F.sum(F.coalesce("e", F.lit(0))).alias("events"), F.count("*").alias("n")))
+    ranges = stored(d.select("s").distinct().repartitionByRange("s").withColumn("part", F.spark_partition_id()))
+    sizes = ranges.groupBy("part").agg(F.count("*").alias("size"))
+    before = sizes.select("part", (F.sum("size").over(W.Window.orderBy("part")) - F.col("size")).alias("before"))  # a row for each partition
+    ranks = ranges.join(before, "part").select("s", (F.col("before") + F.row_number().over(W.Window.partitionBy("part").orderBy("s"))).alias("r"))
+    bits = max(1, ranges.count().bit_length())
+    later = W.Window.partitionBy("bit", "above").orderBy(F.desc("t")).rowsBetween(W.Window.unboundedPreceding, -1)
+    each = d.join(ranks, "s").withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits))))
+    one = F.expr("shiftright(r, bit) & 1") == 1
+    # the last of the bits stands for ties and for all pairs: equal ranks, and everything
+    ties = each.where(F.col("bit") == bits).select(F.lit(-1).alias("bit"), F.col("r").alias("above"), "t", F.col("events").alias("high"), F.col("n").alias("low"))
+    every = each.where(F.col("bit") == bits).select(F.lit(-2).alias("bit"), F.lit(0).cast("long").alias("above"), "t", F.col("events").alias("high"), F.col("n").alias("low"))
+    by_bit = each.where(F.col("bit") < bits).select("bit", F.expr("shiftright(r, bit + 1)").alias("above"), "t", F.when(one, F.col("events")).otherwise(0).alias("high"), F.when(one, 0).otherwise(F.col("n")).alias("low"))
+    sums = by_bit.unionByName(ties).unionByName(every).groupBy("bit", "above", "t").agg(F.sum("high").alias("high"), F.sum("low").alias("low"))
+    pairs = sums.select("bit", (F.col("high") * F.coalesce(F.sum("low").over(later), F.lit(0))).alias("pairs"))
+    of = lambda wanted: F.coalesce(F.sum(F.when(wanted, F.col("pairs"))), F.lit(0))
+    total, tied, right = of(F.col("bit") == -2), of(F.col("bit") == -1), of(F.col("bit") >= 0)
+    return pairs.agg(total.alias("pairs"), F.when(total > 0, (right + tied / 2) / total).alias("concordance"))

@@ -445,7 +445,7 @@ def cox_fit(spark, d):
 @query()
 def cox_concordance(spark, d):
     w = A.conformed(spark, d).select("work_ref", "duration_days", "is_event")
-    return models.concordance(w.join(cox_fit(spark, d), "work_ref"), "work_ref", "duration_days", "is_event", "log_hazard")
+    return models.concordance(w.join(cox_fit(spark, d), "work_ref"), "duration_days", "is_event", "log_hazard")
 
 
 @query()
@@ -487,28 +487,30 @@ def planted_recall(spark, d):
 # ------------------------------------------------------------------------------------------------ text
 
 
-@query("""WITH k AS (SELECT DISTINCT o_orderkey::VARCHAR AS k FROM orders WHERE o_orderkey <= 2000) SELECT DISTINCT a.k AS key, b.k AS match FROM k a JOIN k b ON length(a.k) = length(b.k) AND hamming(a.k, b.k) = 1 WHERE a.k::BIGINT % 50 = 7""")
+@query("""WITH k AS (SELECT DISTINCT o_orderkey::VARCHAR AS k FROM orders),
+v AS (SELECT k, substr(k, 1, i - 1) || d || substr(k, i + 1) AS m FROM (SELECT k, unnest(range(1, length(k) + 1)) AS i FROM k), (SELECT unnest(range(10)) AS d))
+SELECT DISTINCT v.k AS key, v.m AS match FROM v JOIN k ON k.k = v.m WHERE v.k <> v.m""")
 def key_near_misses(spark, d):
-    k = A.table(spark, d, "orders").where("o_orderkey <= 2000").select(F.col("o_orderkey").cast("string").alias("k"))
-    return extract.near_misses(k.where(F.col("k").cast("long") % 50 == 7), "k", k, "k")
+    k = A.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("k"))
+    return extract.near_misses(k, "k", k, "k")
 
 
-@query("SELECT l_orderkey, regexp_replace(concat('MP', l_suppkey, '-W', l_partkey), 'x', 'x') AS reference, round(l_extendedprice::DECIMAL(18, 2)::DOUBLE, 2) AS amount FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, regexp_replace(concat('MP', l_suppkey, '-W', l_partkey), 'x', 'x') AS reference, round(l_extendedprice::DECIMAL(18, 2)::DOUBLE, 2) AS amount FROM lineitem")
 def field_extraction(spark, d):
-    line = A.table(spark, d, "lineitem").where("l_linenumber = 1")
+    line = A.table(spark, d, "lineitem")
     text = F.format_string("ref mp %d – w%d, paid Rs. %s", F.col("l_suppkey"), F.col("l_partkey"), F.format_number("l_extendedprice", 2))
     read = line.select("l_orderkey", text.alias("t"))
     return read.select("l_orderkey", extract.references("t")[0].alias("reference"), extract.amounts("t")[0].alias("amount"))
 
 
-@query("""+ s AS (SELECT l_orderkey AS serial, l_partkey AS part, l_extendedprice * 4 AS claimed FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 3 = 0
-UNION ALL SELECT o_orderkey, 0, o_totalprice FROM orders WHERE o_orderkey % 3 = 1 UNION ALL SELECT -o_orderkey, 0, o_totalprice FROM orders WHERE o_orderkey % 300 = 2),
+@query("""+ s AS (SELECT l_orderkey AS serial, l_partkey AS part, l_extendedprice * 4 AS claimed FROM lineitem
+UNION ALL SELECT o_orderkey, 0, o_totalprice FROM orders UNION ALL SELECT -o_orderkey, 0, o_totalprice FROM orders),
 j AS (SELECT s.*, recommended_amount AS k, amount_pct, checks_fired, risk FROM s LEFT JOIN scored w USING (serial))
 SELECT serial, part, CASE WHEN k IS NULL THEN 'REJECT' WHEN abs(claimed - k) > greatest(k * 0.01, 1) OR amount_pct >= 0.9 OR checks_fired > 0 OR risk >= 0.6 THEN 'CHECK'
 WHEN amount_pct IS NULL THEN 'UNKNOWN' ELSE 'OK' END AS status FROM j""", SCORED)
 def submission_assessment(spark, d):
     lines, orders = A.table(spark, d, "lineitem"), A.table(spark, d, "orders")
-    claims = lines.where("l_linenumber = 2 and l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("serial"), F.col("l_partkey").alias("part"), (F.col("l_extendedprice") * 4).alias("claimed"))
-    whole = orders.where("o_orderkey % 3 = 1").selectExpr("o_orderkey AS serial", "0L AS part", "o_totalprice AS claimed")
-    lost = orders.where("o_orderkey % 300 = 2").selectExpr("-o_orderkey AS serial", "0L AS part", "o_totalprice AS claimed")
+    claims = lines.select(F.col("l_orderkey").alias("serial"), F.col("l_partkey").alias("part"), (F.col("l_extendedprice") * 4).alias("claimed"))
+    whole = orders.selectExpr("o_orderkey AS serial", "0L AS part", "o_totalprice AS claimed")
+    lost = orders.selectExpr("-o_orderkey AS serial", "0L AS part", "o_totalprice AS claimed")
     return assess.assessed(claims.unionByName(whole).unionByName(lost), A.scored(spark, d), "serial", "claimed").select("serial", "part", "status")
