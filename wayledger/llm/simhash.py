@@ -228,7 +228,7 @@ def shingle_udf(words: int, similarity: Fraction, common: np.ndarray | None = No
     return F.pandas_udf(run, "id long, size int, parity array<long>, hashes array<long>")
 
 
-def common_shingles(docs: DataFrame, key: str, text: str, words: int, share: float = 0.02, least: int = 8_000, most: int = 1_000_000) -> np.ndarray:
+def common_shingles(docs: DataFrame, key: str, text: str, words: int, share: float = 0.15, least: int = 8_000, most: int = 1_000_000) -> np.ndarray:
     """Hashes of shingles that several texts of a sample have, rarest first.  They only order the shingles: any list gives the same links."""
     n = max(1, docs.count())
     sample = docs.where((F.xxhash64(F.lit(7), key) / 2.0**64 + 0.5) < max(share, least / n))
@@ -289,15 +289,16 @@ def shared_leads(sets: DataFrame, common: np.ndarray, leads_per_bucket: int = 40
     return dealt.groupBy("bucket").applyInArrow(keep, MEMBERS)
 
 
-def near_roots(members: DataFrame, parities: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: Fraction, few: int = 64, hub_rounds: int = 4) -> DataFrame:
+def near_roots(members: DataFrame, parities: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: Fraction, few: int = 64, hub_rounds: int = 5) -> DataFrame:
     """(node, root): equal roots for sets joined by a path of pairs of the similarity or more; only sets in such a pair appear.
 
     ``members`` are the (id, size, at, hash) of each set's leading hashes: two similar sets share one, and at the first they
     share enough hashes are left behind it in both.  ``parities`` has (id, size, parity); ``sets`` gives (id, hashes) of a
-    frame of ids, and is asked only for pairs whose parities allow the similarity.  A bucket is all that share a hash.  In each
-    round all of a bucket are compared with its hub, the member of least hash, which then leaves: all its pairs are
-    decided.  Pairs that a path already joins need no comparison, so a bucket of near copies is done after a round or two.
-    From the second round on small buckets, and after ``hub_rounds`` all, compare every pair that no path joins.
+    frame of ids, and is asked only for pairs whose parities allow the similarity.  A bucket is all that share a hash.  First
+    each set is compared with one set alone, the least of its buckets' hubs (the members of least hash).  In each later
+    round all of a bucket are compared with its hub, which then leaves: all its pairs are decided.  Pairs that a path
+    already joins need no comparison, so a bucket of near copies is done after a round or two.  From the third round on
+    small buckets, and after ``hub_rounds`` all, compare every pair that no path joins.
     """
     p, q = similarity.numerator, similarity.denominator
     apart = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(16)), F.lit(0))
@@ -308,12 +309,15 @@ def near_roots(members: DataFrame, parities: DataFrame, sets: Callable[[DataFram
         live = written(pending.join(open_.drop("lo", "hi"), "hash"), "live")
         if live.isEmpty():
             return members.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0) if rooted is None else rooted
-        whole = F.lit(False) if turn == 0 else F.col("n") <= few if turn < hub_rounds else F.lit(True)
+        whole = F.lit(False) if turn < 2 else F.col("n") <= few if turn < hub_rounds else F.lit(True)
         enough = lambda x, y: F.least(F.col(f"{x}.size") - F.col(f"{x}.at"), F.col(f"{y}.size") - F.col(f"{y}.at")) * (p + q) >= p * (F.col(f"{x}.size") + F.col(f"{y}.size"))
         ends = lambda x, y: (F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b"))
         star = live.alias("x").where(~whole & (F.col("x.root") != F.col("hub.root")))
         pairs = star.where(enough("x", "hub")).select(*ends("x", "hub"))
-        if turn:
+        if not turn:
+            least = star.where(enough("x", "hub")).groupBy("id").agg(F.min("hub").alias("hub"))
+            pairs = least.alias("x").select(*ends("x", "hub"))
+        if turn > 1:
             rest = live.where(whole).select("hash", "root", "id", "size", "at")
             kinds = rest.select("hash", "root").distinct()
             two = kinds.withColumnRenamed("root", "ra").join(kinds.withColumnRenamed("root", "rb"), "hash").where("ra < rb")
@@ -331,7 +335,7 @@ def near_roots(members: DataFrame, parities: DataFrame, sets: Callable[[DataFram
         near = both.where(F.size(F.array_intersect("x", "y")) * (p + q) >= p * (F.size("x") + F.size("y"))).select("a", "b")
         rooted = joined(written(near, "near"), rooted)
         discard(whole_sets)
-        left = live.where(~whole & (F.col("id") != F.col("hub.id"))).select("hash", "id", "size", "at")
+        left = live.where(~whole & ((F.col("id") != F.col("hub.id")) | F.lit(turn == 0))).select("hash", "id", "size", "at")
         pending = left.join(rooted.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         turn += 1
 
