@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from .common import in_small_batches
 
 UNDETERMINED = "und"
-MAX_LANGUAGES = 256
 
 
 def fit(
@@ -19,30 +18,25 @@ def fit(
     text: str = "text",
     lang: str = "lang",
     texts_per_language: int = 64,
-    slice_chars: int = 1500,
 ) -> dict[str, bytes]:
     """Raw-content dictionaries of lower-cased text by language.
 
-    The documented bound on what is learnt from: for each language the texts of smallest hash in each of
-    ``texts_per_language`` hash buckets, ``slice_chars`` characters of each, so a dictionary stays below 400 kB and the
-    result below 256 languages' worth of it; more languages are an error.  Null texts and null languages are left out.
+    The documented bound on what is learnt from: for each language the one text, whole, of smallest hash in each of
+    ``texts_per_language`` hash buckets.  Null texts and null languages are left out.
     """
     h = F.xxhash64(text)
     picked = (
         docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0))
-        .select(F.col(lang).alias("lang"), F.pmod(h, F.lit(texts_per_language)).alias("bucket"), F.struct(h, F.substring(text, 1, slice_chars)).alias("pick"))
+        .select(F.col(lang).alias("lang"), F.pmod(h, F.lit(texts_per_language)).alias("bucket"), F.struct(h, F.col(text)).alias("pick"))
         .groupBy("lang", "bucket")
         .agg(F.min("pick").alias("pick"))
-        .select("lang", "bucket", F.col("pick.col2").alias("text"))
+        .select("lang", "bucket", F.col("pick")[text].alias("text"))
         .orderBy("lang", "bucket")
-        .limit(MAX_LANGUAGES * texts_per_language + 1)
         .collect()
     )
     out: dict[str, list[str]] = {}
     for row in picked:
         out.setdefault(row.lang, []).append(row.text)
-    if len(out) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return {k: "\n".join(v).lower().encode() for k, v in out.items()}
 
 
@@ -64,7 +58,7 @@ def classify(dictionaries: dict[str, bytes], min_margin: float = 0.01, block: in
         letter = regex.compile(r"\p{L}").search
         names, coders = [k for k, _ in shared], []
         settings = zstandard.ZstdCompressionParameters(
-            window_log=18, hash_log=17, chain_log=17, search_log=4, min_match=min_match, strategy=zstandard.STRATEGY_GREEDY, write_checksum=0, write_content_size=0, write_dict_id=0
+            window_log=20, hash_log=17, chain_log=17, search_log=4, min_match=min_match, strategy=zstandard.STRATEGY_GREEDY, write_checksum=0, write_content_size=0, write_dict_id=0
         )
         for _, content in shared:
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
