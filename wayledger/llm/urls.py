@@ -164,7 +164,7 @@ c AS (SELECT g, n, count(*) FILTER (ok) AS a, count(*) FILTER (NOT ok) AS r FROM
 sz AS (SELECT n, sum(a)::DOUBLE AS a, sum(r)::DOUBLE AS r FROM c WHERE g <> chr(2) GROUP BY n),
 k AS (
   SELECT c.*, CASE WHEN ends_with(g, chr(3)) THEN 0.0 ELSE ln(c.r + 8.0) - ln(c.a + 8.0) END AS back
-  FROM c JOIN sz USING (n) WHERE c.a + c.r >= greatest(2.0, (sz.a + sz.r) / 50000)),
+  FROM c WHERE c.a + c.r >= 2),
 l1 AS (
   SELECT g, k.a, k.r, back, (k.a + 0.03125) / (sz.a + 8.0) AS pa, (k.r + 0.03125) / (sz.r + 8.0) AS pr,
     CASE WHEN g = chr(2) THEN 0.0 ELSE ln((k.a + 0.03125) / (sz.a + 8.0)) - ln((k.r + 0.03125) / (sz.r + 8.0)) END AS delta
