@@ -82,28 +82,35 @@ class MultiIndex:
             yield out
 
 
-def nearest(queries: tuple[np.ndarray, np.ndarray], entries: tuple[np.ndarray, np.ndarray], k: int) -> pd.DataFrame:
-    """Each query's k nearest entries but its own id, ties to the smaller id, by exact distances in double precision."""
-    (qid, q), (vid, v) = queries, entries
+def nearest(queries: tuple[np.ndarray, np.ndarray], entries: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, entry's place, distance) of each query's k nearest entries but its own row, ties to the smaller id.
+
+    ``queries`` are (row, vector), ``entries`` (row, id, vector); distances are exact, in double precision.
+    """
+    (qrow, q), (row, vid, v) = queries, entries
     found = []
     square = (v * v).sum(1)
     for at in range(0, len(q), 32):
-        block, own = q[at : at + 32], qid[at : at + 32]
+        block, own = q[at : at + 32], qrow[at : at + 32]
         rough = square - 2 * block @ v.T + (block * block).sum(1)[:, None]
-        rough[own[:, None] == vid[None, :]] = np.inf
+        rough[own[:, None] == row[None, :]] = np.inf
         limit = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(v) > k else np.full(len(block), np.inf)
         reach = np.where(np.isfinite(limit), limit + 1e-9 * (1 + np.abs(limit)), np.finfo(float).max)
         i, j = np.nonzero(rough <= reach[:, None])
-        d = np.sqrt(((v[j] - block[i]) ** 2).sum(1))
-        order = np.lexsort((vid[j], d, i))
-        i, j, d = i[order], j[order], d[order]
-        best = np.arange(len(i)) - np.searchsorted(i, i) < k
-        found.append((own[i[best]], vid[j[best]], d[best]))
-    columns = [np.concatenate(c) for c in zip(*found)] if found else [[], [], []]
-    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
+        found.append((i + at, j, np.sqrt(((v[j] - block[i]) ** 2).sum(1))))
+    i, j, d = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    best = first_of_each(i, k, d, vid[j], row[j])
+    return i[best], j[best], d[best]
+
 
+def first_of_each(of: np.ndarray, k: int, *order: np.ndarray) -> np.ndarray:
+    """The places of the first ``k`` of each value of ``of``, in the order of the other columns."""
+    at = np.lexsort((*order[::-1], of))
+    of = of[at]
+    return at[np.arange(len(of)) - np.searchsorted(of, of) < k]
 
-FOUND = "query_id long, vec_id long, score double"
+
+FOUND = "query long, query_id long, row long, vec_id long, score double"
 
 
 def stacked(vectors: pd.Series) -> np.ndarray:
@@ -120,6 +127,7 @@ def search(
     tuning_queries: int = 64,
     recall: float = 0.96,
     entries_per_cell: int = 512,
+    least_codebook: int = 16,
     max_codebook: int = 512,
     entries_per_group: int = 4096,
     queries_per_group: int = 2048,
@@ -130,10 +138,11 @@ def search(
     bound).  How many entries a query looks at is measured, not set: for ``tuning_queries`` queries, again those of
     smallest hash, the exact neighbours are found by one pass over all vectors, and the number is the least with which
     their mean recall reaches ``recall``.  Unusable vectors, null keys, and vectors whose length isn't the commonest
-    take no part; an empty table gives no rows.  A query never finds rows of its own key.
+    take no part; an empty table gives no rows.  A query row never finds itself, but finds other rows of its key; a
+    repeated query gets its neighbours once for each row.
 
-    Cells are searched in groups of bounded entries and queries, so neither a cell that holds many copies of one vector
-    nor one that many queries visit becomes a single task's work.
+    A task searches cells that share a first centroid, in parts of bounded entries and queries, so neither a cell that
+    holds many copies of one vector nor one that many queries visit becomes a single task's work.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -144,7 +153,7 @@ def search(
     d, n = lengths.d, lengths.n
     clean = clean.where(F.size("v") == d)
     picked = stacked(pd.Series([r.v for r in clean.select("v").orderBy(F.xxhash64("vec_id")).limit(sample).collect()]))
-    size = int(min(max_codebook, max(1, round((n / entries_per_cell) ** 0.5)), len(picked)))
+    size = int(min(max_codebook, max(least_codebook, round((n / entries_per_cell) ** 0.5)), len(picked)))
     half = max(1, d // 2)
     index = MultiIndex(k_means(picked[:, :half], size), k_means(picked[:, half:], size), np.zeros(size * size, dtype=np.int64))
 
@@ -152,7 +161,7 @@ def search(
         for v in batches:
             yield pd.Series(index.cells(stacked(v)) if len(v) else [], dtype="int32")
 
-    cells = written(clean.withColumn("cell", F.pandas_udf(assign, "int")("v")), "cells")
+    cells = written(clean.withColumns({"row": F.monotonically_increasing_id(), "cell": F.pandas_udf(assign, "int")("v")}), "cells")
     for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most max_codebook squared rows
         index.entries[r.cell] = r.n
     enough = tuned(cells, index, k, tuning_queries, recall)
@@ -160,54 +169,71 @@ def search(
 
     def visit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for v in batches:
-            yield pd.Series(list(shared.value.visits(stacked(v), enough)) if len(v) else [], dtype=object)
-
-    visits = written(cells.where("q").select(F.col("vec_id").alias("query_id"), "v", F.explode(F.pandas_udf(visit, "array<int>")("v")).alias("cell")), "visits")
-    parts = visits.groupBy("cell").agg(F.ceil(F.count("*") / queries_per_group).alias("qs")).join(
-        cells.groupBy("cell").agg(F.ceil(F.count("*") / entries_per_group).alias("vs")), "cell"
+            out = []
+            for order in shared.value.visits(stacked(v), enough) if len(v) else ():
+                seconds: dict[int, list[int]] = {}
+                for cell in order:
+                    seconds.setdefault(cell // size, []).append(cell % size)
+                out.append([{"first": i, "seconds": j} for i, j in seconds.items()])
+            yield pd.Series(out, dtype=object)
+
+    visited = F.inline(F.pandas_udf(visit, "array<struct<first:int,seconds:array<int>>>")("v"))
+    visits = written(cells.where("q").select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "v", visited), "visits")
+    cells = cells.withColumns({"first": F.floor(F.col("cell") / size).cast("int"), "second": F.pmod("cell", F.lit(size))})
+    parts = visits.groupBy("first").agg(F.ceil(F.count("*") / queries_per_group).alias("qs")).join(
+        cells.groupBy("first").agg(F.ceil(F.count("*") / entries_per_group).alias("vs")), "first"
     )
-    parts = F.broadcast(parts)  # at most max_codebook squared rows
+    parts = F.broadcast(parts)  # at most max_codebook rows
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    # the halves of a cell's work: its entries dealt into vs parts, each for all qs parts of its queries, and the other way round
-    left = cells.join(parts, "cell").withColumn("vp", F.pmod(F.xxhash64("vec_id"), F.col("vs"))).withColumn("qp", span("qs")).select("cell", "vp", "qp", "vec_id", "v")
-    right = visits.join(parts, "cell").withColumn("qp", F.pmod(F.xxhash64("query_id"), F.col("qs"))).withColumn("vp", span("vs")).select("cell", "vp", "qp", "query_id", "v")
+    # the halves of a group's work: its entries dealt into vs parts, each for all qs parts of its queries, and the other way round
+    left = cells.join(parts, "first").withColumn("vp", F.pmod(F.xxhash64("row"), F.col("vs"))).withColumn("qp", span("qs")).select("first", "vp", "qp", "row", "vec_id", "v", "second")
+    right = visits.join(parts, "first").withColumn("qp", F.pmod(F.xxhash64("query"), F.col("qs"))).withColumn("vp", span("vs")).select("first", "vp", "qp", "query", "query_id", "v", "seconds")
 
     def compare(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if entries.empty or queries.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return nearest((queries.query_id.to_numpy(), stacked(queries.v)), (entries.vec_id.to_numpy(), stacked(entries.v)), k)
-
-    groups = ["cell", "vp", "qp"]
+        row, vid, qrow, qid = entries.row.to_numpy(), entries.vec_id.to_numpy(), queries["query"].to_numpy(), queries.query_id.to_numpy()
+        cell, asks, found = entries.second.to_numpy(), [set(x) for x in queries.seconds], []
+        v, q = (stacked(entries.v), stacked(queries.v)) if len(row) and len(qrow) else (None, None)
+        for second in np.unique(cell) if v is not None else ():
+            here, ask = np.flatnonzero(cell == second), np.array([n for n, x in enumerate(asks) if second in x], dtype=int)
+            i, j, d = nearest((qrow[ask], q[ask]), (row[here], vid[here], v[here]), k)
+            found.append((ask[i], here[j], d))
+        i, j, d = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        best = first_of_each(i, k, d, vid[j], row[j])
+        i, j, d = i[best], j[best], d[best]
+        return pd.DataFrame({"query": qrow[i], "query_id": qid[i], "row": row[j], "vec_id": vid[j], "score": d})
+
+    groups = ["first", "vp", "qp"]
     found = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(compare, FOUND)
-    rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    rank = F.row_number().over(W.Window.partitionBy("query").orderBy("score", "vec_id", "row"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def exact(vectors: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: int, carry: str) -> dict[int, list]:
-    """The value of ``carry`` for the k exact nearest rows of each of a few queries, by one pass over all rows."""
+def exact(vectors: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: int) -> dict[int, list[int]]:
+    """The cells of the k exact nearest rows of each of a few queries (row, vector), by one pass over all rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                found = nearest(queries, (b.vec_id.to_numpy(), stacked(b.v)), k)
-                yield found.merge(b[["vec_id", carry]].drop_duplicates("vec_id"), on="vec_id")
+                row, vid, cell = b.row.to_numpy(), b.vec_id.to_numpy(), b.cell.to_numpy()
+                i, j, d = nearest(queries, (row, vid, stacked(b.v)), k)
+                yield pd.DataFrame({"query": queries[0][i], "row": row[j], "vec_id": vid[j], "score": d, "cell": cell[j]})
 
-    found = vectors.select("vec_id", "v", carry).mapInPandas(run, f"{FOUND}, {carry} int")
-    rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    out: dict[int, list] = {}
+    found = vectors.select("row", "vec_id", "v", "cell").mapInPandas(run, "query long, row long, vec_id long, score double, cell int")
+    rank = F.row_number().over(W.Window.partitionBy("query").orderBy("score", "vec_id", "row"))
+    out: dict[int, list[int]] = {}
     for r in found.withColumn("rank", rank).where(F.col("rank") <= k).collect():
-        out.setdefault(r.query_id, []).append(r[carry])
+        out.setdefault(r.query, []).append(r.cell)
     return out
 
 
 def tuned(cells: DataFrame, index: MultiIndex, k: int, queries: int, recall: float) -> int:
     """The least number of entries to look at with which the sampled queries' mean recall reaches ``recall``."""
-    rows = cells.where("q").select("vec_id", "v").orderBy(F.xxhash64("vec_id")).limit(queries).collect()
+    rows = cells.where("q").select("row", "v").orderBy(F.xxhash64("vec_id"), "row").limit(queries).collect()
     if not rows:
         return k + 1
-    qid, q = np.array([r.vec_id for r in rows]), stacked(pd.Series([r.v for r in rows]))
-    truth, needs = exact(cells, (qid, q), k, "cell"), []
-    for one, order in zip(qid.tolist(), index.visits(q, int(index.entries.sum()))):
+    qrow, q = np.array([r.row for r in rows]), stacked(pd.Series([r.v for r in rows]))
+    truth, needs = exact(cells, (qrow, q), k), []
+    for one, order in zip(qrow.tolist(), index.visits(q, int(index.entries.sum()))):
         held = dict(zip(order, np.cumsum(index.entries[order]).tolist()))
         needs += [held[c] for c in truth.get(one, [])]
     if not needs:
