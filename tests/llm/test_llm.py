@@ -81,10 +81,13 @@ def test_toxicity_is_learnt_and_located(spark, docs, none):
     assert all((r.score >= 0.5) == (r.toxic == 1) for r in got)
     for r in got:
         assert all(re.search("dolt|oaf", r.text[o.start : o.end]) for o in r.offending) and bool(r.offending) == (r.toxic == 1)
-    assert all(r.score == 0 and r.offending == [] for r in toxicity.judge(docs, model).collect())
+    assert all(r.score < 0.5 and r.offending == [] for r in toxicity.judge(docs, model).collect())
+    assert all(r.score == 0 for r in toxicity.judge(docs.where("text is null or text = ''"), model).collect())
     assert toxicity.judge(none, toxicity.fit(none, labels)).count() == 0
     p = [0.2, 0.5]
     assert toxicity.Model().score([(0, 1, x) for x in p]) == pytest.approx(1 - 0.8 * 0.5)
+    # sentences without a known word count by the bias alone
+    assert toxicity.Model(bias=0.0).score([(0, 1, 0.2)], 2) == pytest.approx(1 - 0.8 * 0.25)
 
 
 # ------------------------------------------------------------------------------------------------ 3, 4: native filters
@@ -185,7 +188,7 @@ def test_neighbours(spark, n):
     odd = [(10_000, None), (10_100, [0.0] * 8), (10_200, [float("nan")] + [1.0] * 7), (10_300, [None] + [1.0] * 7), (10_400, [float("inf")] * 8), (None, [1.0] * 8), (10_500, [1.0])]
     d = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("cell", F.lit(0)).withColumn("v", F.lit(0))
     got = {}
-    for r in neighbours.search(d, F.col("vec_id") % 100 == 0, entries_per_cell=16, entries_per_group=64, queries_per_group=2).orderBy("query_id", "rank").collect():
+    for r in neighbours.search(d, F.col("vec_id") % 100 == 0, entries_per_cell=16, least_codebook=4, entries_per_group=64, queries_per_group=2).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     x = np.array([[np.float32(y) for y in r[1]] for r in rows], dtype=np.float64).reshape(n, 8)
     hits = total = 0
@@ -199,6 +202,19 @@ def test_neighbours(spark, n):
     assert hits >= 0.9 * total and set(got) <= set(range(0, n, 100))
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    x = [[float(y) for y in v] for v in rng.normal(size=(60, 4))]
+    rows = [(i, v) for i, v in enumerate(x)] + [(0, x[0]), (7, x[7]), (0, x[9])]  # a query thrice, once with another vector; an entry twice
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, recall=1.0).collect()
+    want = []
+    for q, (i, v) in enumerate(rows):
+        if i % 100 == 0:
+            near = sorted((float(np.sqrt(((np.array(u) - np.array(v)) ** 2).sum())), j, n) for n, (j, u) in enumerate(rows) if n != q)[:10]
+            want += [(i, rank, j, s) for rank, (s, j, _) in enumerate(near, 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got) == sorted((a, b, c, round(s, 9)) for a, b, c, s in want)
+
+
 def water(sizes, weights, most):
     names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
