@@ -96,7 +96,7 @@ def fit_noisy_or(bags: list[list[list[int]]], others: np.ndarray, y: np.ndarray,
     return float(theta[-1]), theta[:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 3000, min_docs: int = 5, min_g: float = 8.0, of_best: float = 0.02) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 3000, min_docs: int = 3, min_g: float = 5.0, of_best: float = 0.01) -> Model:
     """A model from document labels.
 
     The documented bound on what is learnt from: at most ``per_class`` documents of either label, their whole texts; the
