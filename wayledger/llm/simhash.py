@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from .common import discard, in_small_batches, small, written
 from .components import joined, roots
@@ -305,8 +306,12 @@ def near_roots(members: DataFrame, parities: DataFrame, sets: Callable[[DataFram
     pending, rooted, tested, turn = members.withColumn("root", F.col("id")), None, None, 0
     while True:
         hub = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "size", "at", "root")).alias("hub")
-        open_ = pending.groupBy("hash").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), hub).where("lo <> hi")
-        live = written(pending.join(open_.drop("lo", "hi"), "hash"), "live")
+        who, ats = F.bit_xor(F.xxhash64("id")).alias("who"), F.sum("at").alias("ats")
+        open_ = pending.groupBy("hash").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), hub, who, ats).where("lo <> hi")
+        # of buckets with the same members the one that stands first in their order decides the same pairs as all
+        twin = F.row_number().over(W.Window.partitionBy("n", "who").orderBy("ats", "hash"))
+        open_ = open_.withColumn("twin", twin).where("twin = 1").select("hash", "n", "hub")
+        live = written(pending.join(open_, "hash"), "live")
         if live.isEmpty():
             return members.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0) if rooted is None else rooted
         whole = F.lit(False) if turn < 2 else F.col("n") <= few if turn < hub_rounds else F.lit(True)
