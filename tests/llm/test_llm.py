@@ -6,7 +6,6 @@ import itertools
 import random
 import re
 from collections import Counter
-from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -466,13 +465,19 @@ def test_near_links_do_not_depend_on_the_input_size(spark):
         d = spark.createDataFrame(rows + [(10 + i, prose(rng, 40, vocabulary)) for i in range(extra)], "doc_id long, text string")
         got = {r.doc_id: r.component_id for r in simhash.near_classes(d).collect()}
         assert got[0] == got[1] == 0 and len(set(got.values())) == 1 + extra
-    sets = list(shingle_sets(rows).values())
-    hashes = np.array([simhash.signed(xxhash.xxh64_intdigest(b" ".join(g))) for g in sets[0] & sets[1]], np.int64)
-    firsts = []
-    for listed in (None, hashes[:50], rng.sample(list(hashes), len(hashes))):
-        one = simhash.shingle_udf(5, Fraction(4, 5), None if listed is None else np.array(listed, np.int64))
-        firsts.append([set(r.s.hashes) for r in spark.createDataFrame(rows, "id long, text string").select(one("text").alias("s")).collect()])
-    assert all(a & b for a, b in firsts)
+
+
+def test_bands_meet_at_the_similarity():
+    """Pairs of sets at 0.8 share a band as often as the formula says, with few bands as with all."""
+    rng, bands = np.random.default_rng(24), simhash.bands_for(0.8, 5, 1e-6)
+    assert bands == 35
+    alone = {1: 0, 3: 0, bands: 0}
+    for _ in range(2000):
+        h = rng.integers(-(2**63), 2**63, 108, np.int64)  # 96 of 120 in both
+        x, y = (simhash.band_hashes(np.sort(s), bands, 5) for s in (h, np.append(h[:96], rng.integers(-(2**63), 2**63, 12, np.int64))))
+        for n in alone:
+            alone[n] += not (x[:n] == y[:n]).any()
+    assert abs(alone[1] / 2000 - 0.672) < 0.04 and abs(alone[3] / 2000 - 0.304) < 0.04 and alone[bands] == 0
 
 
 def test_roots_of_paths_stars_and_loops(spark):

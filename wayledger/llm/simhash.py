@@ -13,10 +13,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from .common import discard, in_small_batches, small, written
 from .components import joined, roots
@@ -194,31 +192,41 @@ def shingle_hashes(ws: list[bytes], words: int, known: dict[bytes, int]) -> np.n
     return (out ^ out >> np.uint64(32)).view(np.int64)
 
 
-def shingle_udf(words: int, similarity: Fraction, common: np.ndarray | None = None, whole: bool = False):
-    """A column function: text -> (id, size, parity, hashes): the distinct shingles of ``words`` words as 64-bit hashes.
+def bands_for(similarity: float, rows: int, missed: float) -> int:
+    """How many bands of ``rows`` least values two sets of this similarity share one of, but for a chance of ``missed``."""
+    return math.ceil(math.log(missed) / math.log1p(-(similarity**rows)))
+
+
+def band_hashes(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A hash for each band: of the least values of the set ``h`` under ``rows`` fixed orders of all hashes."""
+    rng = np.random.default_rng(42)
+    turn, times = rng.integers(0, 2**63, (2, bands * rows), np.uint64)
+    times = times * np.uint64(2) + np.uint64(1)
+    least = np.full(bands * rows, 2**64 - 1, np.uint64)
+    for i in range(0, len(h), 256):
+        np.minimum(least, ((h[i : i + 256, None].view(np.uint64) ^ turn) * times).min(0), out=least)
+    out = np.arange(bands, dtype=np.uint64)
+    for column in least.reshape(bands, rows).T:
+        out = (out ^ out >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + column
+    return ((out ^ out >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
+def shingle_udf(words: int, bands: int = 0, rows: int = 5):
+    """A column function: text -> (id, size, parity, hashes) of the set of its shingles of ``words`` words, as 64-bit hashes.
 
     ``id`` is a hash of the whole set and ``size`` how many there are.  ``parity`` has, for each of 1,024 classes of hashes,
-    whether the set has an odd number of them: two sets differ in at least as many hashes as their parities in bits.  ``hashes`` is the part that two sets of this Jaccard
-    similarity must share one of, or all if ``whole``.  They are ordered by hash, those of ``common`` after all others
-    in the order given.  Words and short texts are taken as for the fingerprint.
+    whether the set has an odd number of them: two sets differ in at least as many hashes as their parities in bits.
+    ``hashes`` are those of the bands, or of all shingles if ``bands`` is 0.  Words and short texts are taken as for the
+    fingerprint.
     """
-    common = np.zeros(0, np.int64) if common is None else common
-    place = np.argsort(common)
-    ordered, p, q = common[place], similarity.numerator, similarity.denominator
     known = WordHashes()
 
     def one(text: str | None) -> tuple[int, int, np.ndarray, np.ndarray]:
         import xxhash
 
         h = np.unique(shingle_hashes(text.encode().lower().split() if text else [], words, known))
-        name, n = xxhash.xxh64_intdigest(h.tobytes()), len(h)
         odd = np.packbits(np.bincount(h & 1023, minlength=1024) & 1).view(np.int64)
-        if whole:
-            return signed(name), n, odd, h
-        if len(ordered):
-            at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
-            h = h[np.argsort(np.where(ordered[at] == h, place[at], -1), kind="stable")]
-        return signed(name), n, odd, h[: n - -(-p * n // q) + 1]
+        return signed(xxhash.xxh64_intdigest(h.tobytes())), len(h), odd, band_hashes(h, bands, rows) if bands else h
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -229,143 +237,84 @@ def shingle_udf(words: int, similarity: Fraction, common: np.ndarray | None = No
     return F.pandas_udf(run, "id long, size int, parity array<long>, hashes array<long>")
 
 
-def common_shingles(docs: DataFrame, key: str, text: str, words: int, share: float = 0.15, least: int = 8_000, most: int = 1_000_000) -> np.ndarray:
-    """Hashes of shingles that several texts of a sample have, rarest first.  They only order the shingles: any list gives the same links."""
-    n = max(1, docs.count())
-    sample = docs.where((F.xxhash64(F.lit(7), key) / 2.0**64 + 0.5) < max(share, least / n))
-    seen = sample.select(F.explode(shingle_udf(words, Fraction(1), whole=True)(F.col(text)).hashes).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    rows = seen.where("n > 2").orderBy(F.desc("n"), "h").limit(most).toPandas()
-    return rows.h.to_numpy(np.int64)[::-1].copy()
-
-
-#: A leading shingle of a set: its hash, the set's id and size, and its place in the set's order.
-LEAD = np.dtype([("hash", "<i8"), ("id", "<i8"), ("size", "<i4"), ("at", "<i4")])
-MEMBERS = "hash long, id long, size int, at int"
-
-
-def shared_leads(sets: DataFrame, common: np.ndarray, leads_per_bucket: int = 400_000) -> DataFrame:
-    """(hash, id, size, at) of those leading hashes of (id, size, hashes) that several sets have.
-
-    Most hashes are of one set only.  All are dealt out by hash, packed, so that each crosses the shuffle once in 24
-    bytes; a bucket gives back what its sets share.  Those of ``common`` are known to be shared: they are dealt out by set
-    and given back as they are, so that a hash of very many sets doesn't meet in one bucket.
-    """
-    spark, ordered = sets.sparkSession, np.sort(common)
-    leads = sets.agg(F.sum(F.size("hashes").cast("long"))).first()[0] or 0
-    buckets = max(leads // leads_per_bucket + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, first = np.unique(batch.column(0).to_numpy(), return_index=True)  # of equal sets one is enough
-            batch = batch.take(pa.array(first))
-            lists = batch.column(2)
-            n = np.diff(lists.offsets.to_numpy())
-            e = np.zeros(n.sum(), LEAD)
-            e["hash"], e["id"], e["size"] = lists.flatten().to_numpy(), np.repeat(ids, n), np.repeat(batch.column(1).to_numpy(), n)
-            e["at"] = np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n)
-            known = ordered[np.minimum(np.searchsorted(ordered, e["hash"]), len(ordered) - 1)] == e["hash"] if len(ordered) else np.zeros(len(e), bool)
-            to = np.where(known, e["id"], e["hash"]).view("<u8") % np.uint64(buckets) * np.uint64(2) + known
-            order = np.argsort(to, kind="stable")
-            e, to = e[order], to[order]
-            cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to)) if len(to) else np.zeros(1, int)
-            names = ["bucket", "known", "leads"]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(to[cuts[:-1]] // 2, pa.int32()), pa.array(to[cuts[:-1]] % 2 == 1), pa.array([e[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names
-            )
-
-    def once(e: np.ndarray) -> np.ndarray:
-        """By hash, of each set's entries for it one."""
-        e = e[np.lexsort((e["id"], e["hash"]))]
-        return e[np.append(True, (e["hash"][1:] != e["hash"][:-1]) | (e["id"][1:] != e["id"][:-1]))] if len(e) else e
-
-    def keep(table: pa.Table) -> pa.Table:
-        known = table.column("known").to_numpy(zero_copy_only=False)
-        packed = table.column("leads").to_pylist()
-        new, old = (once(np.frombuffer(b"".join(x for x, k in zip(packed, known) if k == wanted), LEAD)) for wanted in (False, True))
-        same = new["hash"][1:] == new["hash"][:-1]
-        e = np.concatenate([new[np.append(False, same) | np.append(same, False)] if len(new) else new, old])
-        return pa.table([pa.array(np.ascontiguousarray(e[c])) for c in LEAD.names], names=LEAD.names)
-
-    dealt = sets.select("id", "size", "hashes").mapInArrow(deal, "bucket int, known boolean, leads binary")
-    return dealt.groupBy("bucket").applyInArrow(keep, MEMBERS)
-
-
-def near_roots(members: DataFrame, parities: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: Fraction, few: int = 64, hub_rounds: int = 5) -> DataFrame:
+def near_roots(members: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: Fraction, few: int = 64, hub_rounds: int = 5) -> DataFrame:
     """(node, root): equal roots for sets joined by a path of pairs of the similarity or more; only sets in such a pair appear.
 
-    ``members`` are the (id, size, at, hash) of each set's leading hashes: two similar sets share one, and at the first they
-    share enough hashes are left behind it in both.  ``parities`` has (id, size, parity); ``sets`` gives (id, hashes) of a
-    frame of ids, and is asked only for pairs whose parities allow the similarity.  A bucket is all that share a hash.  First
-    each set is compared with one set alone, the least of its buckets' hubs (the members of least hash).  In each later
-    round all of a bucket are compared with its hub, which then leaves: all its pairs are decided.  Pairs that a path
-    already joins need no comparison, so a bucket of near copies is done after a round or two.  From the third round on
-    small buckets, and after ``hub_rounds`` all, compare every pair that no path joins.
+    ``members`` has (hash, id, size, parity); a bucket is all that share a hash, and the pairs compared are those in a
+    bucket.  ``sets`` gives (id, hashes) of a frame of ids, and is asked only for pairs whose sizes and parities allow the
+    similarity.  First each set is compared with one set alone, the least of its buckets' hubs (the members of least hash).
+    In each later round all of a bucket are compared with its hub, which then leaves: all its pairs are decided.  Pairs that
+    a path already joins need no comparison, so a bucket of near copies is done after a round or two.  From the third round
+    on small buckets, and after ``hub_rounds`` all, compare every pair that no path joins: all outside the bucket's largest
+    class with all others.  Of buckets with the same members one is compared.
     """
     p, q = similarity.numerator, similarity.denominator
-    apart = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(16)), F.lit(0))
+
+    def possible(x: str, y: str) -> Column:
+        sizes = F.col(f"{x}.size"), F.col(f"{y}.size")
+        apart = sum((F.bit_count(F.col(f"{x}.parity")[i].bitwiseXOR(F.col(f"{y}.parity")[i])) for i in range(16)), F.lit(0))
+        return (F.least(*sizes) * q >= F.greatest(*sizes) * p) & (apart * (p + q) <= (q - p) * (sizes[0] + sizes[1]))
+
+    ends = lambda x, y: (F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b"))
     pending, rooted, tested, turn = members.withColumn("root", F.col("id")), None, None, 0
     while True:
-        hub = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "size", "at", "root")).alias("hub")
-        who, ats = F.bit_xor(F.xxhash64("id")).alias("who"), F.sum("at").alias("ats")
-        open_ = pending.groupBy("hash").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), hub, who, ats).where("lo <> hi")
-        # of buckets with the same members the one that stands first in their order decides the same pairs as all
-        twin = F.row_number().over(W.Window.partitionBy("n", "who").orderBy("ats", "hash"))
-        open_ = open_.withColumn("twin", twin).where("twin = 1").select("hash", "n", "hub")
+        hub = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "size", "parity", "root")).alias("hub")
+        buckets = pending.groupBy("hash").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who"), F.min("root").alias("lo"), F.max("root").alias("hi"), hub)
+        open_ = buckets.where("lo <> hi").groupBy("n", "who").agg(F.min(F.struct("hash", "hub")).alias("one")).select("one.*", "n")
         live = written(pending.join(open_, "hash"), "live")
         if live.isEmpty():
             return members.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0) if rooted is None else rooted
         whole = F.lit(False) if turn < 2 else F.col("n") <= few if turn < hub_rounds else F.lit(True)
-        enough = lambda x, y: F.least(F.col(f"{x}.size") - F.col(f"{x}.at"), F.col(f"{y}.size") - F.col(f"{y}.at")) * (p + q) >= p * (F.col(f"{x}.size") + F.col(f"{y}.size"))
-        ends = lambda x, y: (F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b"))
-        star = live.alias("x").where(~whole & (F.col("x.root") != F.col("hub.root")))
-        pairs = star.where(enough("x", "hub")).select(*ends("x", "hub"))
+        star = live.alias("x").where(~whole & (F.col("x.root") != F.col("hub.root")) & possible("x", "hub"))
+        pairs = star.select(*ends("x", "hub"))
         if not turn:
-            least = star.where(enough("x", "hub")).groupBy("id").agg(F.min("hub").alias("hub"))
-            pairs = least.alias("x").select(*ends("x", "hub"))
+            pairs = star.groupBy("id").agg(F.min("hub").alias("hub")).alias("x").select(*ends("x", "hub"))
         if turn > 1:
-            rest = live.where(whole).select("hash", "root", "id", "size", "at")
-            kinds = rest.select("hash", "root").distinct()
-            two = kinds.withColumnRenamed("root", "ra").join(kinds.withColumnRenamed("root", "rb"), "hash").where("ra < rb")
-            x, y = rest.withColumnRenamed("root", "ra").alias("x"), rest.withColumnRenamed("root", "rb").alias("y")
-            each = two.join(x, ["hash", "ra"]).join(y, ["hash", "rb"]).where(enough("x", "y"))
+            rest = live.where(whole).select("hash", "id", "size", "parity", "root")
+            most = rest.groupBy("hash", "root").agg(F.count("*").alias("k")).groupBy("hash").agg(F.max_by("root", F.struct("k", "root")).alias("most"))
+            rest = rest.join(most, "hash").withColumn("minor", F.col("root") != F.col("most")).drop("most")
+            x, y = rest.where("minor").alias("x"), rest.alias("y")
+            apart = (F.col("x.root") != F.col("y.root")) & (~F.col("y.minor") | (F.col("x.id") < F.col("y.id")))
+            each = x.join(y, (F.col("x.hash") == F.col("y.hash")) & apart & possible("x", "y"))
             pairs = pairs.unionByName(each.select(*ends("x", "y")))
         pairs = pairs.distinct()
-        x = parities.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("parity").alias("x"))
-        y = parities.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("parity").alias("y"))
-        pairs = pairs.join(x, "a").join(y, "b").where(apart * (p + q) <= (q - p) * (F.col("size_a") + F.col("size_b"))).select("a", "b")
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
         tested = pairs if tested is None else tested.unionByName(pairs)
         whole_sets = written(sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
         both = pairs.join(whole_sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(whole_sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
         near = both.where(F.size(F.array_intersect("x", "y")) * (p + q) >= p * (F.size("x") + F.size("y"))).select("a", "b")
         rooted = joined(written(near, "near"), rooted)
-        discard(whole_sets)
-        left = live.where(~whole & ((F.col("id") != F.col("hub.id")) | F.lit(turn == 0))).select("hash", "id", "size", "at")
+        left = live.where(~whole & ((F.col("id") != F.col("hub.id")) | F.lit(turn == 0))).select("hash", "id", "size", "parity")
         pending = left.join(rooted.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        discard(whole_sets)
         turn += 1
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, rows: int = 5, missed: float = 1e-6) -> DataFrame:
     """(key, component_id) of every row: texts whose shingles are similar link, classes are named by least key.
 
-    Similarity is the Jaccard similarity of the sets of ``words``-word shingles, compared by their 64-bit hashes: no pair is
-    missed and none below is linked.  Equal sets are one node.  ``docs`` is read again in each round.
+    Similarity is the Jaccard similarity of the sets of ``words``-word shingles, compared by their 64-bit hashes: none below
+    is linked.  Pairs meet where they share a band of ``rows`` least values; there are so many bands that a pair at the
+    similarity shares none with a chance of ``missed``, whatever else is in the input, and one above it still more seldom.
+    Equal sets are one node.  ``docs`` is read again in each round.
     Null keys, repeated rows and other columns as in ``classes``; all texts without words are alike.
     """
     t, took = Fraction(str(similarity)), in_small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    common = common_shingles(took, "key", "text", words)
-    first = shingle_udf(words, t, common)(F.col("text"))
+    first = shingle_udf(words, bands_for(similarity, rows, missed), rows)(F.col("text"))
     marked = written(took.select("key", first.alias("s")).select("key", "s.*"), "shingles")
     # 64-bit names of sets: should two share one, their classes would merge
-    nodes = written(marked.groupBy("id").agg(F.min("key").alias("least"), F.any_value("size").alias("size"), F.any_value("parity").alias("parity")), "nodes")
-    members = written(shared_leads(marked, common), "members")
+    same = (F.any_value(c).alias(c) for c in ("size", "parity", "hashes"))
+    nodes = written(marked.groupBy("id").agg(F.min("key").alias("least"), *same), "nodes")
+    banded = nodes.select("id", F.explode("hashes").alias("hash"))
+    shared = banded.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    members = written(banded.join(shared, "hash", "left_semi").join(nodes.select("id", "size", "parity"), "id"), "members")
 
     def sets(ids: DataFrame) -> DataFrame:
         keys = small(nodes.select("id", "least").join(ids, "id").select(F.col("least").alias("_key")).distinct(), 500_000)
         texts = took.join(keys, F.col("key").eqNullSafe(F.col("_key")), "left_semi")
-        return texts.select(shingle_udf(words, t, whole=True)(F.col("text")).alias("s")).groupBy("s.id").agg(F.any_value("s.hashes").alias("hashes"))
+        return texts.select(shingle_udf(words)(F.col("text")).alias("s")).groupBy("s.id").agg(F.any_value("s.hashes").alias("hashes"))
 
-    root = near_roots(members, nodes.select("id", "size", "parity"), sets, t).withColumnRenamed("node", "id")
+    root = near_roots(members, sets, t).withColumnRenamed("node", "id")
     rooted = written(nodes.select("id", "least").join(root, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_id = rooted.join(named, "root").select("id", "component_id")
