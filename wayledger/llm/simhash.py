@@ -256,14 +256,15 @@ def near_roots(members: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
         return (F.least(*sizes) * q >= F.greatest(*sizes) * p) & (apart * (p + q) <= (q - p) * (sizes[0] + sizes[1]))
 
     ends = lambda x, y: (F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b"))
-    pending, rooted, tested, turn = members.withColumn("root", F.col("id")), None, None, 0
+    pending, rooted, tested, turn = written(members.withColumn("root", F.col("id")), "pending"), None, None, 0
     while True:
         hub = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "size", "parity", "root")).alias("hub")
         buckets = pending.groupBy("hash").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who"), F.min("root").alias("lo"), F.max("root").alias("hi"), hub)
         open_ = buckets.where("lo <> hi").groupBy("n", "who").agg(F.min(F.struct("hash", "hub")).alias("one")).select("one.*", "n")
         live = written(pending.join(open_, "hash"), "live")
+        discard(pending)
         if live.isEmpty():
-            return members.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0) if rooted is None else rooted
+            return live.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0) if rooted is None else rooted
         whole = F.lit(False) if turn < 2 else F.col("n") <= few if turn < hub_rounds else F.lit(True)
         star = live.alias("x").where(~whole & (F.col("x.root") != F.col("hub.root")) & possible("x", "hub"))
         pairs = star.select(*ends("x", "hub"))
@@ -286,7 +287,8 @@ def near_roots(members: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
         rooted = joined(written(near, "near"), rooted)
         left = live.where(~whole & ((F.col("id") != F.col("hub.id")) | F.lit(turn == 0))).select("hash", "id", "size", "parity")
         pending = left.join(rooted.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        discard(whole_sets)
+        pending = written(pending, "pending")
+        discard(whole_sets, live)
         turn += 1
 
 
@@ -307,12 +309,12 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     nodes = written(marked.groupBy("id").agg(F.min("key").alias("least"), *same), "nodes")
     banded = nodes.select("id", F.explode("hashes").alias("hash"))
     shared = banded.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    members = written(banded.join(shared, "hash", "left_semi").join(nodes.select("id", "size", "parity"), "id"), "members")
+    members = banded.join(shared, "hash", "left_semi").join(nodes.select("id", "size", "parity"), "id")
 
     def sets(ids: DataFrame) -> DataFrame:
         keys = small(nodes.select("id", "least").join(ids, "id").select(F.col("least").alias("_key")).distinct(), 500_000)
         texts = took.join(keys, F.col("key").eqNullSafe(F.col("_key")), "left_semi")
-        return texts.select(shingle_udf(words)(F.col("text")).alias("s")).groupBy("s.id").agg(F.any_value("s.hashes").alias("hashes"))
+        return texts.select(shingle_udf(words)(F.col("text")).alias("s")).select("s.id", "s.hashes")  # repeated rows only repeat links
 
     root = near_roots(members, sets, t).withColumnRenamed("node", "id")
     rooted = written(nodes.select("id", "least").join(root, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")), "rooted")
