@@ -10,6 +10,7 @@ from pyspark.sql import window as W
 
 from ..config import DEFAULT, Thresholds
 from ..functions.columns import clipped, money
+from .ordering import ranked
 
 CHECKS = (
     ("orphan", "HIGH"), ("backdated", "HIGH"), ("future_dated", "MEDIUM"), ("no_sanction", "HIGH"),
@@ -130,10 +131,9 @@ def recommended() -> Column:
 
 def case_files(works: DataFrame, key: str = "work_ref") -> DataFrame:
     """Leads (bands MEDIUM and HIGH) as nested documents with their rank by return."""
-    leads = works.where(F.col("band").isin("MEDIUM", "HIGH"))
-    rank = F.row_number().over(W.Window.orderBy(F.desc("audit_roi"), key))
+    leads = ranked(works.where(F.col("band").isin("MEDIUM", "HIGH")), "rank", F.desc("audit_roi"), F.asc(key))
     return leads.select(
-        key, rank.alias("rank"), "band", F.struct("priority", "exposure", "audit_roi", "families").alias("scores"), money("recommended_amount").alias("amount_text"),
+        key, "rank", "band", F.struct("priority", "exposure", "audit_roi", "families").alias("scores"), money("recommended_amount").alias("amount_text"),
         evidence().alias("evidence"), "findings", recommended().alias("next_step"),
     )
 
