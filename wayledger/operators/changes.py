@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..sources.tables import stored
+from .ordering import ranked
+
 
 def normal(c: str) -> Column:
     """A value as text: 3.0 and 3 are equal, null and the empty text are."""
@@ -68,8 +71,11 @@ def moved_scopes(current: DataFrame, known: DataFrame, scope: str, print_: str)
 
 def chain_breaks(log: DataFrame, seq: str, prev: str, own: str, expected: Column) -> DataFrame:
     """(seq, fault): rows that don't hash to their own hash, don't follow the row before, or share a parent."""
-    by = W.Window.orderBy(seq)  # a log is one chain; its hashes are all that is sorted
     marks = log.select(F.col(seq).alias("seq"), F.col(prev).alias("p"), F.col(own).alias("h"), (expected != F.col(own)).alias("edited"))
-    marks = marks.withColumns({"gap": ~F.lag("h").over(by).eqNullSafe(F.col("p")) & (F.row_number().over(by) > 1), "fork": F.count("*").over(W.Window.partitionBy("p")) > 1})
+    marks = stored(ranked(marks, "place", F.asc("seq"), F.asc("h"), F.asc("p")))
+    before = marks.select((F.col("place") + 1).alias("place"), F.col("h").alias("_h"))
+    shared = marks.groupBy("p").agg((F.count("*") > 1).alias("fork")).withColumnRenamed("p", "_p")
+    marks = marks.join(before, "place", "left").join(shared, F.col("p").eqNullSafe(F.col("_p")))
+    marks = marks.withColumn("gap", ~F.col("_h").eqNullSafe(F.col("p")) & (F.col("place") > 1))
     fault = F.when(F.col("edited"), "edited").when(F.col("gap"), "gap").when(F.col("fork"), "fork")
     return marks.select("seq", fault.alias("fault")).where("fault is not null")

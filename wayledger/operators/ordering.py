@@ -21,4 +21,4 @@ def ranked(df: DataFrame, name: str, *order: Column) -> DataFrame:
     moved = sizes.select(F.col("_range").alias("_of"), earlier.alias("_before"))
     inside = F.row_number().over(W.Window.partitionBy("_range").orderBy(*order))
     placed = ranges.withColumn(name, inside).join(F.broadcast(moved), F.col("_range") == F.col("_of"))  # one row a range
-    return placed.withColumn(name, (F.col(name) + F.col("_before")).cast("int")).drop("_range", "_of", "_before")
+    return placed.withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_of", "_before")
