@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hostrules, langid, mixing, neighbours, quality, secretscan, simhash, suffixdedup, toxicity, urls
+from . import bpe, hostrules, langid, merkle, mixing, neighbours, quality, secretscan, simhash, suffixdedup, toxicity, urls
 from .common import fold
 
 
@@ -71,6 +71,13 @@ def op10_sentencepiece_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_digests(both).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_persistent_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of every document; a fifth are tampered with."""
+    rest = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, merkle.leaf_digest(*rest, F.translate("text", merkle.UPPER, merkle.UPPER.lower())))
+    return merkle.manifest(table(spark, sf_dir, "documents"), "doc_id", "source", merkle.leaf_digest(*rest, F.col("text")), lowered)
+
+
 def op12_combined_automaton_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every whole text of ``documents``; null counts as empty."""
     found = secretscan.scanned(table(spark, sf_dir, "documents"))
@@ -79,6 +86,6 @@ def op12_combined_automaton_secrets(spark: SparkSession, sf_dir: str) -> DataFra
     return found.select("doc_id", *counts, F.sha2(secretscan.listed(secretscan.of_kinds("spans", *base)).cast("binary"), 256).alias("base_sha256"), secretscan.listed("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bradley_terry_quality, op2_noisy_or_toxicity, op3_url_language_models, op4_host_rules, op5_inverted_multi_index, op6_fair_queueing_mix, op7_compression_language, op8_two_stage_suffix_arrays, op9_pigeonhole_simhash, op10_sentencepiece_byte_bpe, op12_combined_automaton_secrets)}
+QUERIES = {f.__name__: f for f in (op1_bradley_terry_quality, op2_noisy_or_toxicity, op3_url_language_models, op4_host_rules, op5_inverted_multi_index, op6_fair_queueing_mix, op7_compression_language, op8_two_stage_suffix_arrays, op9_pigeonhole_simhash, op10_sentencepiece_byte_bpe, op11_persistent_merkle_manifest, op12_combined_automaton_secrets)}
 
-ORACLE_SQL: dict[str, str] = {"op3_url_language_models": urls.ORACLE_SQL, "op4_host_rules": hostrules.ORACLE_SQL, "op12_combined_automaton_secrets": secretscan.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_url_language_models": urls.ORACLE_SQL, "op4_host_rules": hostrules.ORACLE_SQL, "op11_persistent_merkle_manifest": merkle.oracle_sql(), "op12_combined_automaton_secrets": secretscan.oracle_sql()}
