@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hostrules, langid, merkle, mixing, neighbours, quality, secretscan, simhash, suffixdedup, toxicity, urls
+from . import bpe, hostrules, langid, merkle, mixing, neighbours, quality, ranked, secretscan, simhash, suffixdedup, toxicity, urls
 from .common import fold
 
 
@@ -86,6 +86,11 @@ def op12_combined_automaton_secrets(spark: SparkSession, sf_dir: str) -> DataFra
     return found.select("doc_id", *counts, F.sha2(secretscan.listed(secretscan.of_kinds("spans", *base)).cast("binary"), 256).alias("base_sha256"), secretscan.listed("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bradley_terry_quality, op2_noisy_or_toxicity, op3_url_language_models, op4_host_rules, op5_inverted_multi_index, op6_fair_queueing_mix, op7_compression_language, op8_two_stage_suffix_arrays, op9_pigeonhole_simhash, op10_sentencepiece_byte_bpe, op11_persistent_merkle_manifest, op12_combined_automaton_secrets)}
+def op13_term_partitioned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, rank, doc_id and score of the 50 best documents of every benchmark item."""
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
-ORACLE_SQL: dict[str, str] = {"op3_url_language_models": urls.ORACLE_SQL, "op4_host_rules": hostrules.ORACLE_SQL, "op11_persistent_merkle_manifest": merkle.oracle_sql(), "op12_combined_automaton_secrets": secretscan.oracle_sql()}
+
+QUERIES = {f.__name__: f for f in (op1_bradley_terry_quality, op2_noisy_or_toxicity, op3_url_language_models, op4_host_rules, op5_inverted_multi_index, op6_fair_queueing_mix, op7_compression_language, op8_two_stage_suffix_arrays, op9_pigeonhole_simhash, op10_sentencepiece_byte_bpe, op11_persistent_merkle_manifest, op12_combined_automaton_secrets, op13_term_partitioned_search)}
+
+ORACLE_SQL: dict[str, str] = {"op3_url_language_models": urls.ORACLE_SQL, "op4_host_rules": hostrules.ORACLE_SQL, "op11_persistent_merkle_manifest": merkle.oracle_sql(), "op12_combined_automaton_secrets": secretscan.oracle_sql(), "op13_term_partitioned_search": ranked.ORACLE_SQL}
