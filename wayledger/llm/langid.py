@@ -57,10 +57,11 @@ def classify(dictionaries: dict[str, bytes], min_margin: float = 0.01, block: in
 
         letter = regex.compile(r"\p{L}").search
         names, coders = [k for k, _ in shared], []
-        settings = zstandard.ZstdCompressionParameters(
-            window_log=20, hash_log=17, chain_log=17, search_log=4, min_match=min_match, strategy=zstandard.STRATEGY_GREEDY, write_checksum=0, write_content_size=0, write_dict_id=0
-        )
         for _, content in shared:
+            log = (len(content) + block).bit_length()  # the window and the tables hold all of the dictionary
+            settings = zstandard.ZstdCompressionParameters(
+                window_log=max(20, log), hash_log=max(17, log), chain_log=max(17, log), search_log=4, min_match=min_match, strategy=zstandard.STRATEGY_GREEDY, write_checksum=0, write_content_size=0, write_dict_id=0
+            )
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=settings)
             coders.append(zstandard.ZstdCompressor(dict_data=d, compression_params=settings).compress)

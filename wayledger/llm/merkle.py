@@ -15,9 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import window as W
 
-from .common import small, written
+from .common import placed, written
 
 RUN, DEPTH = 16, 2
 BLOCK = RUN**DEPTH
@@ -89,22 +88,6 @@ def _block(nodes: pa.Table) -> tuple[list[int], tuple, int]:
 # ------------------------------------------------------------------------------------------- trees over many blocks
 
 
-def placed(rows: DataFrame, *order: Column) -> DataFrame:
-    """``rows`` with ``pos`` (from 0) inside their ``tree`` and the tree's row count ``n``; written.
-
-    Rows are sorted into ranges by tree and ``order``; their places follow from one count for each tree and range, so a
-    tree that holds most rows is still dealt over all tasks.  ``order`` must leave no ties.
-    """
-    ranges = rows.orderBy("tree", *order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    ranges = written(ranges, "ranges")
-    counts = ranges.groupBy("tree", "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    of = W.Window.partitionBy("tree")
-    before = F.coalesce(F.sum("_n").over(of.orderBy("_range").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
-    moves = counts.select("tree", "_range", (before - F.col("_first")).alias("_move"), F.sum("_n").over(of).alias("n"))
-    out = ranges.join(small(written(moves, "moves"), 100_000), ["tree", "_range"])
-    return written(out.withColumn("pos", F.col("_at") + F.col("_move")).drop("_range", "_at", "_move"), "placed")
-
-
 def blocked(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("block", F.floor(F.col("pos") / BLOCK))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import small, words, written
+from .common import small, unused, words, written
 
 BEFORE = (W.Window.unboundedPreceding, -1)
 UP_TO = (W.Window.unboundedPreceding, W.Window.currentRow)
@@ -114,7 +114,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     Rows equal in key, source and size appear alike, as often as the most taken of them.
     """
     taken = mixed(docs, key=key, text=text, source=source, **options).where("copies > 0")
-    taken = taken.groupBy(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col("size").alias("_n")).agg(F.max("copies").alias("_c"))
-    same = F.col(key).eqNullSafe(F.col("_k")) & F.col(source).eqNullSafe(F.col("_s")) & (F.size(words(text)) == F.col("_n"))
-    out = docs.join(taken, same)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_c"))).select(*[docs[c] for c in docs.columns])
+    k, s, n, c, each = unused(docs, "k", "s", "n", "c", "copy")
+    taken = taken.groupBy(F.col(key).alias(k), F.col(source).alias(s), F.col("size").alias(n)).agg(F.max("copies").alias(c))
+    same = F.col(key).eqNullSafe(F.col(k)) & F.col(source).eqNullSafe(F.col(s)) & (F.size(words(text)) == F.col(n))
+    return docs.join(taken, same).withColumn(each, F.explode(F.sequence(F.lit(1), c))).select(*docs.columns)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, in_small_batches, small, written
+from .common import discard, in_small_batches, small, unused, written
 from .components import joined, roots
 
 BITS = 64
@@ -293,7 +293,10 @@ def near_roots(members: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, rows: int = 5, missed: float = 1e-6) -> DataFrame:
-    """(key, component_id) of every row: texts whose shingles are similar link, classes are named by least key.
+    """(key, component_id, component, sha) of every row: texts whose shingles are similar link.
+
+    Classes are named by their least key, and by a number of their own, ``component``, where keys are null or repeat;
+    ``sha`` is the SHA-256 of the row's text (null for null).
 
     Similarity is the Jaccard similarity of the sets of ``words``-word shingles, compared by their 64-bit hashes: none below
     is linked.  Pairs meet where they share a band of ``rows`` least values; there are so many bands that a pair at the
@@ -303,7 +306,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     """
     t, took = Fraction(str(similarity)), in_small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text"))
     first = shingle_udf(words, bands_for(similarity, rows, missed), rows)(F.col("text"))
-    marked = written(took.select("key", first.alias("s")).select("key", "s.*"), "shingles")
+    marked = written(took.select("key", F.sha2("text", 256).alias("sha"), first.alias("s")).select("key", "sha", "s.*"), "shingles")
     # 64-bit names of sets: should two share one, their classes would merge
     same = (F.any_value(c).alias(c) for c in ("size", "parity", "hashes"))
     nodes = written(marked.groupBy("id").agg(F.min("key").alias("least"), *same), "nodes")
@@ -319,17 +322,30 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     root = near_roots(members, sets, t).withColumnRenamed("node", "id")
     rooted = written(nodes.select("id", "least").join(root, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_id = rooted.join(named, "root").select("id", "component_id")
-    return marked.select("key", "id").join(by_id, "id").select(F.col("key").alias(key), "component_id")
+    by_id = rooted.join(named, "root").select("id", "root", "component_id")
+    return marked.select("key", "sha", "id").join(by_id, "id").select(F.col("key").alias(key), "component_id", F.col("root").alias("component"), "sha")
+
 
+def representatives(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each class in ``found``, the result of ``near_classes``, one row with its own columns: that of least key, null last.
 
-def representatives(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Of each class in ``found`` (key, component_id) the row of least key, with its own columns; of rows that repeat
-    that key one stays.  Rows of null key stay only where their class has no other key.
+    Of rows of that key the text of least SHA-256 stays, and of rows equal in key and text any one.  The result of
+    ``classes`` will do where keys are not null and don't repeat with different texts: it knows rows by their key alone.
     """
-    chosen = written(found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).agg(F.count("*").alias("_rows")), "representatives")
-    kept = docs.join(chosen.select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    return kept if chosen.where("_rows > 1").isEmpty() else kept.dropDuplicates([key])
+    k, sha, rows, at = unused(docs, "key", "sha", "rows", "row")
+    by_text = "sha" in found.columns
+    if not by_text:
+        found = found.select(key, F.col("component_id").alias("component"), F.lit(None).cast("string").alias("sha"))
+    each = found.groupBy("component", key, "sha").agg(F.count("*").alias("_rows"))
+    least = each.groupBy("component").agg(F.min(F.struct(F.col(key).isNull(), key, "sha", "_rows")).alias("m"))
+    chosen = written(least.select(F.col(f"m.{key}").alias(k), F.col("m.sha").alias(sha), F.col("m._rows").alias(rows)), "representatives")
+    same = F.col(key).eqNullSafe(F.col(k))
+    kept = docs.join(chosen, same & F.sha2(text, 256).eqNullSafe(F.col(sha)) if by_text else same)
+    if not chosen.where(F.col(rows) > 1).isEmpty():
+        kept = written(kept.withColumn(at, F.monotonically_increasing_id()), "repeated")  # numbered once
+        first = kept.where(F.col(rows) > 1).groupBy(k, sha).agg(F.min(at).alias(at)).select(at)
+        kept = kept.where(F.col(rows) == 1).unionByName(kept.where(F.col(rows) > 1).join(first, at, "left_semi"))
+    return kept.select(*docs.columns)
 
 
 def hexadecimal(fp: str = "fp"):

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, written
+from .common import in_small_batches, placed, small, written
 
 K = 24  # bytes of a k-gram; half the windows' length or less
 DEPTH = 8  # bytes compared at a time
@@ -364,15 +364,37 @@ def heavy_grams(keyed: DataFrame, length: int, rows: int, sample: int = 5000) ->
     return np.sort(np.array([r.key for r in segs.where(F.col("n") >= least).select("key").collect()], dtype=np.int64).view(np.uint64))
 
 
-def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, entries_per_bucket: int = 400_000) -> DataFrame:
+def text_numbers(docs: DataFrame, key: str, text: str) -> DataFrame | None:
+    """(doc, sha, h): the texts of a key that bears several, numbered by their SHA-256, without number 0; None if no key repeats.
+
+    Only counts of keys are made where none repeats; else the numbers come from sorted ranges, so a key of very many texts
+    (null, say) never meets in one task.
+    """
+    doc = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("doc")
+    twice = written(docs.select(doc).groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "repeated-keys")
+    if twice.isEmpty():
+        return None
+    rows = docs.select(doc, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("sha")).join(small(twice, 100_000), "doc", "left_semi").distinct()
+    return placed(rows.withColumn("tree", F.col("doc").cast("string")), F.col("sha")).where("pos > 0").select("doc", "sha", F.col("pos").cast("int").alias("h"))
+
+
+def numbered(rows: DataFrame, numbers: DataFrame | None, doc: str = "doc", text: str = "text", h: str = "h") -> DataFrame:
+    """``rows`` with their text's number among the texts of their key, 0 where it is the only or the first one."""
+    if numbers is None:
+        return rows.withColumn(h, F.lit(0))
+    named = numbers.select(F.col("doc").alias(doc), F.col("sha").alias("_sha"), F.col("h").alias("_number"))
+    out = rows.withColumn("_sha", F.sha2(text, 256)).join(small(named, 100_000), [doc, "_sha"], "left")
+    return out.withColumn(h, F.coalesce("_number", F.lit(0))).drop("_sha", "_number")
+
+
+def removed(docs: DataFrame, numbers: DataFrame | None, key: str = "doc_id", text: str = "text", length: int = 100, entries_per_bucket: int = 400_000) -> DataFrame:
     """(doc, h, spans) of the documents that lose bytes; spans are packed rows of (start, end), which may overlap.
 
-    A document is a key and a text (known by 32 bits of its hash, ``h``); a null key sorts first.
+    A document is a key and a text, known by its number ``h`` among the key's texts; a null key sorts first.
     """
     spark = docs.sparkSession
-    h = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     keyed = in_small_batches(docs).select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keyed = keyed.where(F.octet_length("text") >= length).select("doc", h.alias("h"), "text")
+    keyed = numbered(keyed, numbers).where(F.octet_length("text") >= length).select("doc", "h", "text")
     total, rows = keyed.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count("*")).first()
     per_entry = (length - K + 2) / 2  # bytes of text to a segment, on random text
     buckets = max(int(total / per_entry / entries_per_bucket) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -409,14 +431,16 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     Every byte covered by a ``length``-byte string that also starts earlier (in a document of smaller key, or further
     left in the same one) is removed; strings are judged on the input.  ``spans`` are the maximal removed runs as byte
     offsets.  Null and short texts lose nothing (a null text keeps zero bytes); a null key comes before all others.  Rows
-    that repeat a key with different texts are ordered by a hash of the text, rows equal in both are one document and get
+    that repeat a key with different texts are ordered by the SHA-256 of the text, rows equal in both are one document and get
     the same result.  Other columns are ignored.
     """
     d = in_small_batches(docs).select(
         F.col(key).alias("_key"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"),
         *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)],
-    ).withColumn("_h", F.xxhash64("_text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    gone = removed(docs, key, text, length).select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
+    )
+    numbers = text_numbers(docs, key, text)
+    d = numbered(d, numbers, "_doc", "_text", "_h")
+    gone = removed(docs, numbers, key, text, length).select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, packed in batches:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import agreed_labels, in_small_batches, sample_ids, written
+from .common import agreed_labels, in_small_batches, sample_rows, written
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"\w+")
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     contradicting labels are left out and copies of a text count once; where a label has no document, nothing is toxic.
     """
     agreed = agreed_labels(labels, key, label)
-    sample = in_small_batches(docs).select(key, text).join(F.broadcast(sample_ids(agreed, key, label, per_class)), key)
+    sample = sample_rows(in_small_batches(docs), agreed, key, text, label, per_class)
     sample = written(sample.dropDuplicates([text, label]), "toxicity-sample")
     names = vocabulary(sample, text, label, min_docs, min_g, of_best)
     if not names:

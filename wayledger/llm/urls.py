@@ -50,11 +50,11 @@ def grams(urls: DataFrame, order: int) -> DataFrame:
     return at.select(*[c for c in urls.columns if c != "u"], "u", F.explode(F.array_compact(F.array(*pieces))).alias("g"))
 
 
-def model(labelled: DataFrame, order: int = 4, prior: float = 8.0, hot_per_order: int = 50_000, alphabet: int = 256) -> DataFrame:
+def model(labelled: DataFrame, order: int = 4, prior: float = 8.0, hot_per_order: int = 50_000, alphabet: int = 256, seen: int = 2) -> DataFrame:
     """(g, value, hot) from (u, accepted): what each occurrence of ``g`` adds to a URL's log-likelihood difference, in micronats.
 
     P(c | x) = (n(xc) + prior P(c | x without its first character)) / (n(x) + prior), down to even chances.  Every substring
-    seen twice is kept, so the table grows with the input; ``hot`` are those that make up at least one in
+    met ``seen`` times is kept (1: every one), so the table grows with the input; ``hot`` are those that make up at least one in
     ``hot_per_order`` of their length's occurrences, so at most ``order`` x ``hot_per_order``.  Where a kept context is followed by a
     character not kept after it, the shorter context decides; the terms are arranged so that a URL's score is one sum.
     """
@@ -62,7 +62,7 @@ def model(labelled: DataFrame, order: int = 4, prior: float = 8.0, hot_per_order
     counts = written(counts, "url-grams")
     sizes = {r.n: (r.a, r.r) for r in counts.where(F.col("g") != START).groupBy("n").agg(F.sum("a").alias("a"), F.sum("r").alias("r")).collect()}
     least = F.coalesce(*[F.when(F.col("n") == n, F.lit(sum(s) / hot_per_order)) for n, s in sizes.items()], F.lit(0.0))
-    kept = counts.where("a + r >= 2").withColumn("hot", F.col("a") + F.col("r") >= least)
+    kept = counts.where(F.col("a") + F.col("r") >= seen).withColumn("hot", F.col("a") + F.col("r") >= least)
     na, nr = sizes.get(1, (0, 0))
     even = prior / alphabet
     back = F.when(F.col("g").endswith(END), 0.0).otherwise(F.log(F.col("r") + prior) - F.log(F.col("a") + prior))
