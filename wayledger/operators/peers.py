@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from ..config import DEFAULT, Thresholds
+from .quantiles import joined, quantiles, ranges
 
 
 def backed_off(works: DataFrame, levels: list[list[str]], t: Thresholds = DEFAULT, min_peers: int | None = None) -> DataFrame:
@@ -32,30 +32,31 @@ def backed_off(works: DataFrame, levels: list[list[str]], t: Thresholds = DEFAUL
 def leave_one_out_percentile(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
     """(average rank - 1) / (n - 1) within the group; n counts null values, which get null, as do groups of one row.
 
-    Ranks come from counts of the distinct values, so ties cost nothing.
+    Ranks come from ranges of the distinct values, so neither ties nor a giant group meet in one task.
     """
-    counts = df.groupBy(*group, value).agg(F.count("*").alias("_same"))
-    by = W.Window.partitionBy(*group)
-    below = F.sum(F.when(F.col(value).isNotNull(), F.col("_same"))).over(by.orderBy(F.col(value).asc_nulls_first()).rowsBetween(W.Window.unboundedPreceding, -1))
-    ranked = counts.withColumns({"_below": F.coalesce(below, F.lit(0)), "_n": F.sum("_same").over(by)})
-    pct = F.when(F.col(value).isNotNull() & (F.col("_n") > 1), (F.col("_below") + (F.col("_same") - 1) / 2) / (F.col("_n") - 1))
-    ranked = ranked.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col(value).alias("_v"), pct.alias(name))
-    same = F.col(value).eqNullSafe(F.col("_v"))
-    for i, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return df.join(ranked, same, "left").drop("_v", *[f"_g{i}" for i in range(len(group))])
+    keys = F.struct(*[F.col(g) for g in group], F.lit(0))
+    sizes = df.groupBy(keys.alias("_of")).agg(F.count("*").alias("_all"))
+    ranked = ranges(df, group, value).join(sizes, F.col("_g") == F.col("_of"))
+    pct = F.when(F.col("_all") > 1, (F.col("_below") + (F.col("_same") - 1) / 2) / (F.col("_all") - 1))
+    ranked = ranked.select("_g", "_v", pct.alias(name))
+    return df.join(ranked, (keys == F.col("_g")) & (F.col(value) == F.col("_v")), "left").drop("_g", "_v")
 
 
 def robust_z(df: DataFrame, group: list[str], value: str, name: str, t: Thresholds = DEFAULT, approximate: bool = False) -> DataFrame:
     """(value - median) / spread: the scaled median deviation, where that is 0 the scaled quartile range, else 0 for all.
 
-    Exact percentiles hold a group's distinct values in one task; ``approximate`` bounds that for giant groups.
+    Exact quantiles come from ranges of the distinct values, in two sorts; ``approximate`` needs none, but one bounded
+    sketch a group.  A null is a group of its own.
     """
-    at = (lambda c, q: F.percentile_approx(c, q, 10_000)) if approximate else F.percentile
-    middle = df.groupBy(*group).agg(at(value, 0.5).alias("_m"), at(value, 0.25).alias("_q1"), at(value, 0.75).alias("_q3"))
-    near = df.join(middle, group, "left").withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-    spread = near.groupBy(*group).agg(at("_d", 0.5).alias("_mad"))
-    out = near.join(spread, group, "left")
+    shares = {"_m": 0.5, "_q1": 0.25, "_q3": 0.75}
+
+    def found(d: DataFrame, of: str, at: dict[str, float]) -> DataFrame:
+        if not approximate:
+            return quantiles(d, group, of, at)
+        return d.groupBy(*group).agg(*[F.percentile_approx(of, q, 10_000).alias(n) for n, q in at.items()])
+
+    near = joined(df, group, found(df, value, shares)).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
+    out = joined(near, group, found(near, "_d", {"_mad": 0.5}))
     mad, iqr = F.col("_mad") * t.mad_scale, (F.col("_q3") - F.col("_q1")) / t.iqr_scale
     z = F.when(mad > 0, (F.col(value) - F.col("_m")) / mad).when(iqr > 0, (F.col(value) - F.col("_m")) / iqr).otherwise(F.when(F.col(value).isNotNull(), 0.0))
     return out.withColumn(name, z).drop("_m", "_q1", "_q3", "_d", "_mad")

@@ -11,6 +11,7 @@ from pyspark.sql import window as W
 from ..config import DEFAULT, Thresholds
 from ..functions.columns import clipped, money
 from .ordering import ranked
+from .quantiles import joined, quantiles
 
 CHECKS = (
     ("orphan", "HIGH"), ("backdated", "HIGH"), ("future_dated", "MEDIUM"), ("no_sanction", "HIGH"),
@@ -79,7 +80,10 @@ def rule_summary(works: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
 
 
 def early_warning(works: DataFrame, peer: list[str], t: Thresholds = DEFAULT) -> DataFrame:
-    """``stall_ratio`` against the median of completed peers, ``warning`` (0.6 risk + 0.4 stall / 3) and its level."""
+    """``stall_ratio`` against the median of completed peers, ``warning`` (0.6 risk + 0.4 stall / 3) and its level.
+
+    The medians are of whole days, so a group's buffer has a count for each of some thousand days at most.
+    """
     done = works.where("is_event = 1 and duration_days is not null")
     medians = done.groupBy(*peer).agg(F.percentile("duration_days", 0.5).alias("_median"))
     overall = done.select(F.percentile("duration_days", 0.5)).scalar()
@@ -99,7 +103,9 @@ def change_points(works: DataFrame, entity: str, year: Column, value: str, t: Th
     Years with fewer rows than the floor are left out, steps may span them; a step counts above ``change_shift``, at most
     1, and of equal ones the earliest is named.
     """
-    yearly = works.groupBy(entity, year.alias("year")).agg(F.count("*").alias("n"), F.percentile(value, 0.5).alias("median")).where(F.col("n") >= t.change_min_rows)
+    dated = works.withColumn("year", year)
+    yearly = dated.groupBy(entity, "year").agg(F.count("*").alias("n")).where(F.col("n") >= t.change_min_rows)
+    yearly = joined(yearly, [entity, "year"], quantiles(dated, [entity, "year"], value, {"median": 0.5}))
     by = W.Window.partitionBy(entity).orderBy("year")
     steps = yearly.withColumns({"before": F.lag("median").over(by), "from_year": F.lag("year").over(by)}).where("before is not null")
     steps = steps.withColumn("step", F.abs(F.col("median") - F.col("before")) / (F.col("before") + 1e-9))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import share
+from ..sources.tables import stored
+from .quantiles import joined, quantiles
 from .reports import significance, top_of_each
 
 LEAD = ("MEDIUM", "HIGH")
@@ -34,13 +36,13 @@ def archetypes(works: DataFrame, kind: str) -> DataFrame:
 
     Works without a kind are left out; of equally common states the first by name counts.
     """
-    known = works.where(F.col(kind).isNotNull())
-    return known.groupBy(kind).agg(
+    known = works.where(F.col(kind).isNotNull()).withColumn("_days", F.when(F.col("is_completed") == 1, F.col("duration_days")))
+    typical = joined(quantiles(known, [kind], "recommended_amount", {"median_amount": 0.5}), [kind], quantiles(known, [kind], "_days", {"median_days": 0.5}))
+    counts = known.groupBy(kind).agg(
         F.count("*").alias("works"), F.countDistinct("state_name").alias("states"), F.countDistinct("implementing_agency").alias("agencies"),
-        F.percentile("recommended_amount", 0.5).alias("median_amount"), F.avg("is_completed").alias("completion_rate"),
-        F.percentile(F.when(F.col("is_completed") == 1, F.col("duration_days")), 0.5).alias("median_days"), share(is_lead()).alias("lead_rate"),
-        F.sum("exposure").alias("exposure"), F.mode("state_name", True).alias("top_state"),
+        F.avg("is_completed").alias("completion_rate"), share(is_lead()).alias("lead_rate"), F.sum("exposure").alias("exposure"), F.mode("state_name", True).alias("top_state"),
     )
+    return joined(counts, [kind], typical)
 
 
 def pair_summary(pairs: DataFrame, concerning: DataFrame, owners: DataFrame, key: str, owner: str, text: str) -> DataFrame:
@@ -157,8 +159,9 @@ def coverage(files: DataFrame, kind: str, digest: str, size: str) -> DataFrame:
 
 def per_owner(items: DataFrame, owner: str, value: str) -> DataFrame:
     """One row: owners, their mean and most items, and the mean and median of their summed values."""
-    each = items.groupBy(owner).agg(F.count("*").alias("n"), F.sum(value).alias("v"))
-    return each.agg(F.count("*").alias("owners"), F.avg("n").alias("mean_items"), F.max("n").alias("most_items"), F.avg("v").alias("mean_value"), F.percentile("v", 0.5).alias("median_value"))
+    each = stored(items.groupBy(owner).agg(F.count("*").alias("n"), F.sum(value).alias("v")))
+    one = each.agg(F.count("*").alias("owners"), F.avg("n").alias("mean_items"), F.max("n").alias("most_items"), F.avg("v").alias("mean_value"))
+    return joined(one, [], quantiles(each, [], "v", {"median_value": 0.5}))
 
 
 def ingest_report(works: DataFrame, flags: list[str]) -> DataFrame:
