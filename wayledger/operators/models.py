@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..sources.tables import stored
+from .quantiles import quantiles
 
 
 def clustered(df: DataFrame, vector: str, ks: list[int], seed: int = 42) -> tuple[DataFrame, int, dict[int, float]]:
@@ -80,29 +81,55 @@ def cox(df: DataFrame, features: list[str], days: str, event: str, penalty: floa
     return w
 
 
-def isolation(df: DataFrame, features: list[str], trees: int = 100, sample: int = 256, contamination: float = 0.02, seed: int = 42) -> DataFrame:
+def standardised(df: DataFrame, features: list[str]) -> DataFrame:
+    """``df`` with ``_x``: the features (null counts as 0) less their mean, by their sample deviation plus 1e-9."""
+    x = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
+    one = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)], *[F.stddev_samp(v).alias(f"s{i}") for i, v in enumerate(x)]).first()
+    return df.withColumn("_x", F.array(*[(v - F.lit(one[f"m{i}"] or 0.0)) / F.lit((one[f"s{i}"] or 0.0) + 1e-9) for i, v in enumerate(x)]))
+
+
+def tree_draws(df: DataFrame, key: str, trees: int, sample: int, seed: int, n: int) -> DataFrame:
+    """(tree, h, _x): about ``trees`` x ``sample`` rows in all, whatever the size of ``df``, about ``sample`` a tree.
+
+    One pool of rows of small hash is dealt to the trees by another hash; where the table is smaller than the pool its rows
+    are dealt as often as that takes.
+    """
+    wanted = trees * sample
+    times = max(1, -(-wanted // max(n, 1)))
+    chance = min(1.0, wanted / max(n * times, 1))
+    h = F.xxhash64(F.lit(seed), key, "_time")
+    pool = df.select(F.col(key), "_x").withColumn("_time", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("h", h)
+    pool = pool.where(F.pmod("h", F.lit(1 << 30)) < round(chance * (1 << 30)))
+    return pool.select(F.pmod(F.xxhash64("h"), F.lit(trees)).cast("int").alias("tree"), "h", "_x")
+
+
+def usual_depth(n: float) -> float:
+    """The mean depth of an unsuccessful search among ``n``: what a tree not grown further stands for."""
+    return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+
+
+def isolation(df: DataFrame, features: list[str], key: str | None = None, trees: int = 200, sample: int = 256, contamination: float = 0.02, seed: int = 42) -> DataFrame:
     """The rows with an isolation ``score`` and an ``outlier`` flag above the quantile of the contamination.
 
-    Every tree is grown in its own group on ``sample`` rows of smallest hash; all rows are then scored in one pass.
+    Every tree is grown in a group of its own, on about ``sample`` rows of standardised features (``tree_draws``), a bounded
+    sample; all rows are then scored in one pass, once.  ``key`` (the first column if not given) names a row.
     """
-    x = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
-    salted = df.select(F.array(*x).alias("x")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    n = max(1, df.count())
-    chance = min(1.0, 1.5 * sample / n)
-    h = F.xxhash64(F.lit(seed), "tree", "x")
-    drawn = salted.where((h / 2.0**64 + 0.5) < chance).withColumn("h", h)
+    key = key or df.columns[0]
+    d = standardised(df, features)
+    drawn = tree_draws(d, key, trees, sample, seed, df.count())
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed + int(group.tree.iloc[0]))
-        data, nodes = np.array(group.sort_values("h").x.tolist()[:sample]), []
+        tree = int(group.tree.iloc[0])
+        rng, nodes = np.random.default_rng([seed, tree]), []
+        data = np.array(group.sort_values("h")._x.tolist()).reshape(len(group), len(features))
         depth = int(np.ceil(np.log2(max(len(data), 2))))
 
         def split(rows: np.ndarray, level: int) -> int:
             at = len(nodes)
             nodes.append(None)
-            spread = np.ptp(rows, axis=0) if len(rows) else np.zeros(len(features))
+            spread = np.ptp(rows, axis=0)
             if level >= depth or len(rows) <= 1 or not spread.any():
-                nodes[at] = (-1, 0.0, 0, 0, level + (2 * (np.log(len(rows) - 1) + 0.5772156649) - 2 * (len(rows) - 1) / len(rows) if len(rows) > 2 else float(len(rows) == 2)))
+                nodes[at] = (-1, 0.0, 0, 0, level + usual_depth(len(rows)))
                 return at
             f = int(rng.choice(np.flatnonzero(spread)))
             cut = rng.uniform(rows[:, f].min(), rows[:, f].max())
@@ -110,11 +137,11 @@ def isolation(df: DataFrame, features: list[str], trees: int = 100, sample: int
             return at
 
         split(data, 0)
-        return pd.DataFrame({"tree": [int(group.tree.iloc[0])], "nodes": [[list(map(float, t)) for t in nodes]], "rows": [len(data)]})
+        return pd.DataFrame({"tree": [tree], "nodes": [[list(map(float, t)) for t in nodes]], "rows": [len(data)]})
 
-    grown = drawn.groupBy("tree").applyInPandas(grow, "tree int, nodes array<array<double>>, rows int").collect()  # trees x sample nodes
-    forest, size = [np.array(r.nodes) for r in grown], max([r.rows for r in grown], default=2)
-    usual = 2 * (np.log(max(size - 1, 1)) + 0.5772156649) - 2 * (size - 1) / size
+    grown = sorted(drawn.groupBy("tree").applyInPandas(grow, "tree int, nodes array<array<double>>, rows int").collect(), key=lambda r: r.tree)  # trees x sample nodes
+    forest = [np.array(r.nodes) for r in grown]
+    usual = max(usual_depth(float(np.mean([r.rows for r in grown]))) if grown else 0.0, 1e-9)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
@@ -126,11 +153,11 @@ def isolation(df: DataFrame, features: list[str], trees: int = 100, sample: int
                     goes = np.where(data[np.arange(len(b)), np.maximum(f, 0)] < nodes[at, 1], nodes[at, 2], nodes[at, 3]).astype(int)
                     at = np.where(inner, goes, at)
                 total += nodes[at, 4]
-            yield pd.Series(2.0 ** -(total / max(len(forest), 1) / max(usual, 1e-9)))
+            yield pd.Series(2.0 ** -(total / max(len(forest), 1) / usual))
 
-    scored = df.withColumn("score", F.pandas_udf(score, "double")(F.array(*x)))
-    limit = scored.select(F.percentile("score", 1 - contamination)).scalar()
-    return scored.withColumn("outlier", F.col("score") > limit)
+    scored = stored(d.withColumn("score", F.pandas_udf(score, "double")(F.col("_x"))).drop("_x"))
+    limit = quantiles(scored, [], "score", {"limit": 1 - contamination}).first()
+    return scored.withColumn("outlier", F.col("score") > (limit.limit if limit else 1.0))
 
 
 def planted(works: DataFrame, key: str, kinds: dict[str, dict[str, Column]], each: int, seed: int = 42) -> DataFrame:
