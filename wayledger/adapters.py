@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import canonical, peers, signals
+from .operators import canonical, duplicates, hazard, models, peers, signals
 from .sources.tables import stored
 
 PEER_LEVELS = [["activity_category", "state_name"], ["activity_category"], ["state_name"]]
 MIN_PEERS = 120
+HORIZON = 2_400  # days; works of these tables take years
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,17 +85,55 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     Stand-ins for the fitted models, so that SQL can say the same: the risk of an open work is its age as a share of
     4,000 days, and outliers lie over three robust deviations from their peers' median.
     """
+    w = _base(spark, sf_dir)
+    age = F.least(F.lit(1.0), F.coalesce(F.col("duration_days"), F.lit(0)) / 4000)
+    w = w.withColumns({"risk": F.when(F.col("is_open") == 1, age).otherwise(0.0), "outlier": F.abs("amount_z") > 3, "similarity": F.lit(None).cast("double")})
+    w = stored(signals.ruled(signals.fused(w)))
+    return signals.early_warning(w, ["activity_category", "state_name"])
+
+
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works with peers, ranks among them and their agency's change point."""
     w = stored(peers.backed_off(conformed(spark, sf_dir), PEER_LEVELS, min_peers=MIN_PEERS))
     w = peers.leave_one_out_percentile(w, ["peer_group"], "recommended_amount", "amount_pct")
     w = peers.robust_z(w, ["peer_group"], "recommended_amount", "amount_z")
     w = stored(w.withColumn("_open_days", F.when(F.col("is_open") == 1, F.col("duration_days"))))
     w = stored(peers.leave_one_out_percentile(w, ["peer_group", "is_open"], "_open_days", "open_pct").drop("_open_days"))
     steps = signals.change_points(w, "implementing_agency", F.year("recommendation_date"), "recommended_amount").select("implementing_agency", "change")
-    w = w.join(steps, "implementing_agency", "left")
-    age = F.least(F.lit(1.0), F.coalesce(F.col("duration_days"), F.lit(0)) / 4000)
-    w = w.withColumns({"risk": F.when(F.col("is_open") == 1, age).otherwise(0.0), "outlier": F.abs("amount_z") > 3, "similarity": F.lit(None).cast("double")})
-    w = stored(signals.ruled(signals.fused(w)))
-    return signals.early_warning(w, ["activity_category", "state_name"])
+    return w.join(steps, "implementing_agency", "left")
+
+
+def risk_model(spark: SparkSession, sf_dir: str) -> hazard.Hazard:
+    """Proportional hazards of completion on amount, sanction, the commonest states and kinds of work."""
+    w = conformed(spark, sf_dir)
+    frame = hazard.framed(w, "recommended_amount", "is_sanctioned", {"state_name": 15, "activity_category": 20})
+    return hazard.fit(w, frame, "work_ref", "duration_days", "is_event")
+
+
+def text_pairs(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
+    """Pairs of similar documents of a language, by counts of words hashed to 256 places: documents as works' descriptions."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL AND doc_id IS NOT NULL")
+    counts = HashingTF(numFeatures=256, inputCol="words", outputCol="counts").transform(docs.select("doc_id", "lang", F.split("text", " ").alias("words")))
+    vectors = stored(counts.select("doc_id", "lang", vector_to_array("counts").alias("v")))
+    return stored(duplicates.block_pairs(vectors, "doc_id", ["lang"], "v", least=0.97, exact=exact))
+
+
+def modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "modelled", _modelled)
+
+
+def _modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``scored``, with the fitted models in place of its stand-ins.
+
+    The risk is that of the fitted hazards within ``HORIZON``, outliers are those of an isolation forest on log amount and age,
+    and a work's similarity is that of the document of its number to the one most like it.
+    """
+    base = stored(_base(spark, sf_dir))
+    w = hazard.at_horizon(base, risk_model(spark, sf_dir), "duration_days", "is_open", HORIZON)
+    flags = models.isolation(base, ["log_amount", "age_days"], "work_ref").select("work_ref", "outlier")
+    partner = duplicates.best_partner(text_pairs(spark, sf_dir)).select(F.col("key").alias("serial"), "partner", "similarity")
+    w = stored(w.join(flags, "work_ref").join(partner, "serial", "left"))
+    return signals.early_warning(stored(signals.ruled(signals.fused(w))), ["activity_category", "state_name"])
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +154,19 @@ def verifications(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return visits, docs.select(F.col("doc_id").alias("work"), band.alias("band")).where("band is not null")
 
 
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(picture, owner, first, second): each document as a picture of its source, with two 64-bit similarity hashes of its words.
+
+    A bit is set if it is in over half of the MD5 sums of the document's distinct words: near copies differ in few bits.
+    """
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("picture"), F.col("source").alias("owner"), F.explode(F.split("text", " ")).alias("w")).where("w <> ''").distinct()
+    sums = words.select("picture", "owner", *[F.conv(F.substring(F.md5("w"), 8 * i + 1, 8), 16, 10).cast("long").alias(f"x{i}") for i in range(4)])
+    ones = [F.sum(F.expr(f"shiftright(x{i // 32}, {i % 32}) & 1")).alias(f"n{i}") for i in range(128)]
+    counted = sums.groupBy("picture", "owner").agg(F.count("*").alias("n"), *ones)
+    bits = lambda at: reduce(lambda x, y: x.bitwiseOR(y), [F.when(2 * F.col(f"n{at + i}") > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(64)])
+    return counted.select("picture", "owner", bits(0).alias("first"), bits(64).alias("second"))
+
+
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as versions of their user's record."""
     k = F.get_json_object("props", "$.k")

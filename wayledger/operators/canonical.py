@@ -76,7 +76,7 @@ def flagged(works: DataFrame, anchor: Column | None = None) -> DataFrame:
 
 
 def featured(works: DataFrame, snapshot: Column) -> DataFrame:
-    """Event, open flag, days from start to completion or snapshot (negative: null) and log amount."""
+    """Event, open flag, days from start to completion or snapshot (negative: null), log amount and age (missing or negative: 0)."""
     valid = ~F.col("is_backdated") & ~F.col("is_future_dated")
     event = F.col("is_completed") & valid
     days = F.datediff(F.when(event, F.col("completion_date")).otherwise(snapshot), "recommendation_date")
@@ -85,6 +85,7 @@ def featured(works: DataFrame, snapshot: Column) -> DataFrame:
             "is_event": event.cast("int"),
             "is_open": (~F.col("is_completed")).cast("int"),
             "duration_days": F.when(days >= 0, days),
+            "age_days": F.greatest(F.coalesce(F.datediff(snapshot, "recommendation_date"), F.lit(0)), F.lit(0)),
             "log_amount": F.log1p(F.greatest(F.coalesce("recommended_amount", F.lit(0.0)), F.lit(0.0))),
         }
     )

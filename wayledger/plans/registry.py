@@ -450,7 +450,7 @@ def cox_concordance(spark, d):
 
 @query()
 def iforest_flags(spark, d):
-    return models.isolation(A.conformed(spark, d), ["log_amount", "duration_days"]).select("work_ref", "score", "outlier")
+    return models.isolation(A.conformed(spark, d), ["log_amount", "age_days"], "work_ref").select("work_ref", "score", "outlier")
 
 
 @query()
