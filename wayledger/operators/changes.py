@@ -79,3 +79,39 @@ def chain_breaks(log: DataFrame, seq: str, prev: str, own: str, expected: Column
     marks = marks.withColumn("gap", ~F.col("_h").eqNullSafe(F.col("p")) & (F.col("place") > 1))
     fault = F.when(F.col("edited"), "edited").when(F.col("gap"), "gap").when(F.col("fork"), "fork")
     return marks.select("seq", fault.alias("fault")).where("fault is not null")
+
+
+def composite(*columns: str) -> Column:
+    """A key for rows that have none: SHA-256 of the columns' normal texts joined by ``|``, the empty text for null."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(normal(c), F.lit("")) for c in columns]), 256)
+
+
+def run_counters(versions: DataFrame, run: str, key: str, order: list[str], fields: list[str]) -> DataFrame:
+    """(run, seen, keys, appeared, changed): what each run brought, if runs came in order; ``changed`` counts fields.
+
+    A run's last version of a key is held against that of the key's run before.
+    """
+    last = versions.groupBy(run, key).agg(F.count("*").alias("_seen"), F.max_by(F.struct(*[normal(c).alias(c) for c in fields]), F.struct(*order)).alias("n"))
+    d = last.withColumn("o", F.lag("n").over(W.Window.partitionBy(key).orderBy(run)))
+    moved = sum(((~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))).cast("int") for c in fields), F.lit(0))
+    return d.groupBy(run).agg(
+        F.sum("_seen").alias("seen"), F.count("*").alias("keys"), F.count_if(F.col("o").isNull()).alias("appeared"), F.sum(F.when(F.col("o").isNotNull(), moved).otherwise(0)).alias("changed")
+    )
+
+
+def history(feed: DataFrame, key: str, value: Column, *newest: Column) -> DataFrame:
+    """The changes of one entity, newest first."""
+    return feed.where(F.col(key).eqNullSafe(value)).orderBy(*newest)
+
+
+def freshness(checks: DataFrame, scope: str, at: str, as_of: Column) -> DataFrame:
+    """One row: scopes, seconds from the last check of any scope to ``as_of``, and from the last check of the one checked least recently."""
+    each = checks.groupBy(scope).agg(F.max(at).alias("_last"))
+    seconds = lambda c: F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(c.cast("timestamp"))
+    return each.agg(F.count("*").alias("scopes"), seconds(F.max("_last")).alias("since_last"), seconds(F.min("_last")).alias("since_oldest"))
+
+
+def judged_entries(entries: DataFrame, outcome: str, domain: tuple[str, ...], hashed: list[str]) -> DataFrame:
+    """Ledger entries with ``row_hash`` over ``hashed`` and ``reason``: null for accepted ones, else why not."""
+    reason = F.when(F.col(outcome).isNull(), "no outcome").when(~F.col(outcome).isin(*domain), F.concat(F.lit("unknown outcome: "), F.col(outcome)))
+    return entries.withColumns({"row_hash": composite(*hashed), "reason": reason})
