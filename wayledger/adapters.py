@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import canonical, duplicates, hazard, models, peers, signals
+from .operators import canonical, duplicates, hazard, models, peers, planting, signals
 from .sources.tables import stored
 
 PEER_LEVELS = [["activity_category", "state_name"], ["activity_category"], ["state_name"]]
@@ -50,7 +50,7 @@ def kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """The result of ``build``, stored once in a session while neither the tables under it nor its own folder change."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     state = []
-    for t in ("orders", "lineitem", "customer", "nation", "embeddings"):
+    for t in ("orders", "lineitem", "customer", "nation", "documents"):
         path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
         fs = path.getFileSystem(conf)
         if fs.exists(path):
@@ -85,16 +85,16 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     Stand-ins for the fitted models, so that SQL can say the same: the risk of an open work is its age as a share of
     4,000 days, and outliers lie over three robust deviations from their peers' median.
     """
-    w = _base(spark, sf_dir)
+    w = based(conformed(spark, sf_dir))
     age = F.least(F.lit(1.0), F.coalesce(F.col("duration_days"), F.lit(0)) / 4000)
     w = w.withColumns({"risk": F.when(F.col("is_open") == 1, age).otherwise(0.0), "outlier": F.abs("amount_z") > 3, "similarity": F.lit(None).cast("double")})
     w = stored(signals.ruled(signals.fused(w)))
     return signals.early_warning(w, ["activity_category", "state_name"])
 
 
-def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def based(w: DataFrame) -> DataFrame:
     """Works with peers, ranks among them and their agency's change point."""
-    w = stored(peers.backed_off(conformed(spark, sf_dir), PEER_LEVELS, min_peers=MIN_PEERS))
+    w = stored(peers.backed_off(w, PEER_LEVELS, min_peers=MIN_PEERS))
     w = peers.leave_one_out_percentile(w, ["peer_group"], "recommended_amount", "amount_pct")
     w = peers.robust_z(w, ["peer_group"], "recommended_amount", "amount_z")
     w = stored(w.withColumn("_open_days", F.when(F.col("is_open") == 1, F.col("duration_days"))))
@@ -103,11 +103,18 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.join(steps, "implementing_agency", "left")
 
 
+#: Fitted hazards by the stored works that they were fitted to.
+_fitted: dict[str, hazard.Hazard] = {}
+
+
 def risk_model(spark: SparkSession, sf_dir: str) -> hazard.Hazard:
     """Proportional hazards of completion on amount, sanction, the commonest states and kinds of work."""
     w = conformed(spark, sf_dir)
+    if (folder := str(w.inputFiles()[:1])) in _fitted:
+        return _fitted[folder]
     frame = hazard.framed(w, "recommended_amount", "is_sanctioned", {"state_name": 15, "activity_category": 20})
-    return hazard.fit(w, frame, "work_ref", "duration_days", "is_event")
+    _fitted[folder] = hazard.fit(w, frame, "work_ref", "duration_days", "is_event")
+    return _fitted[folder]
 
 
 def text_pairs(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
@@ -115,7 +122,12 @@ def text_pairs(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFra
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL AND doc_id IS NOT NULL")
     counts = HashingTF(numFeatures=256, inputCol="words", outputCol="counts").transform(docs.select("doc_id", "lang", F.split("text", " ").alias("words")))
     vectors = stored(counts.select("doc_id", "lang", vector_to_array("counts").alias("v")))
-    return stored(duplicates.block_pairs(vectors, "doc_id", ["lang"], "v", least=0.97, exact=exact))
+    return duplicates.block_pairs(vectors, "doc_id", ["lang"], "v", least=0.97, exact=exact)
+
+
+def partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar document of each that has a similar one."""
+    return kept(spark, sf_dir, "partners", lambda spark, d: duplicates.best_partner(stored(text_pairs(spark, d))))
 
 
 def modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,14 +140,34 @@ def _modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     The risk is that of the fitted hazards within ``HORIZON``, outliers are those of an isolation forest on log amount and age,
     and a work's similarity is that of the document of its number to the one most like it.
     """
-    base = stored(_base(spark, sf_dir))
-    w = hazard.at_horizon(base, risk_model(spark, sf_dir), "duration_days", "is_open", HORIZON)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("serial")).distinct()
+    w = conformed(spark, sf_dir).join(docs.withColumn("document", F.col("serial")), "serial", "left")
+    return judged(w, risk_model(spark, sf_dir), partners(spark, sf_dir))
+
+
+def judged(w: DataFrame, model: hazard.Hazard, nearest: DataFrame) -> DataFrame:
+    """``modelled`` for conformed works with a ``document``; works of the same document are as similar as can be."""
+    base = stored(based(w))
+    base = hazard.at_horizon(base, model, "duration_days", "is_open", HORIZON)
     flags = models.isolation(base, ["log_amount", "age_days"], "work_ref").select("work_ref", "outlier")
-    partner = duplicates.best_partner(text_pairs(spark, sf_dir)).select(F.col("key").alias("serial"), "partner", "similarity")
-    w = stored(w.join(flags, "work_ref").join(partner, "serial", "left"))
+    shared = base.where("document IS NOT NULL").groupBy("document").agg(F.count("*").alias("_sharing"))
+    like = shared.join(nearest.select(F.col("key").alias("document"), F.col("similarity").alias("_near")), "document", "left")
+    like = like.select("document", F.when(F.col("_sharing") > 1, 1.0).otherwise(F.col("_near")).alias("similarity"))
+    w = stored(base.join(flags, "work_ref").join(like, "document", "left"))
     return signals.early_warning(stored(signals.ruled(signals.fused(w))), ["activity_category", "state_name"])
 
 
+def planted(spark: SparkSession, sf_dir: str, each: int = 250) -> DataFrame:
+    """``modelled`` works with planted anomalies, judged again from their changed fields by the model fitted before."""
+    before = modelled(spark, sf_dir)
+    changed = planting.planted(before, "work_ref", ["state_name", "activity_category"], each, ("document",), "document IS NOT NULL")
+    last = table(spark, sf_dir, "orders").select(F.max("o_orderdate").cast("date")).scalar()
+    kept_columns = [*conformed(spark, sf_dir).columns, "document", "planted"]
+    w = changed.select(*kept_columns).withColumn("is_completed", F.col("is_completed").cast("boolean"))
+    w = stored(canonical.featured(canonical.flagged(w, last), last).withColumn("is_completed", F.col("is_completed").cast("int")))
+    return judged(w, risk_model(spark, sf_dir), partners(spark, sf_dir))
+
+
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line is a payment: by the customer's nation to the supplier."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
