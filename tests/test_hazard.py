@@ -59,7 +59,9 @@ def test_weights_baseline_and_risk_equal_numpy(spark, works):
     w, s0, risk = plain(works)
     assert np.allclose(model.weights, w, atol=1e-7)
     assert np.allclose(list(model.survival), list(s0.values()), atol=1e-9) and list(model.days) == list(s0)
-    got = {r.key: r.risk for r in hazard.at_horizon(works, model, "days", "open", 40).collect()}
+    got = {r.key: r.risk for r in hazard.at_horizon(works, model, "days", "open", 40, completed=True).collect()}
+    left = {r.key: (r.risk, r.p_incomplete, r.p_complete) for r in hazard.at_horizon(works, model, "days", "open", 40).collect()}
+    assert all(abs(left[k][2] - (1 - left[k][1])) < 1e-12 and (v == 0 or abs(left[k][0] + v - 1) < 1e-9) for k, v in risk.items()) and left["null"] == (0, None, None)
     assert len(got) == 702 and got["null"] == 0 and got["zero"] == 0
     assert all(abs(got[k] - v) < 1e-9 for k, v in risk.items()) and max(risk.values()) > 0.3
     table = hazard.weights_table(model, spark).collect()
@@ -72,7 +74,7 @@ def test_the_sample_is_bounded_and_nothing_fits(works):
     assert few.weights != hazard.fit(works, frame, "key", "days", "event").weights
     none = works.limit(0)
     empty = hazard.fit(none, hazard.framed(none, "amount", "flag", {"state": 3}), "key", "days", "event")
-    assert empty.baseline(10) == 1.0 and hazard.at_horizon(works, empty, "days", "open").select(F.max("risk")).first()[0] == 0
+    assert empty.baseline(10) == 1.0 and hazard.at_horizon(works, empty, "days", "open", completed=True).select(F.max("risk")).first()[0] == 0
     never = works.withColumn("event", F.lit(0))
     assert hazard.fit(never, frame, "key", "days", "event").baseline(10) == 1.0
 
@@ -84,7 +86,7 @@ def test_sql_over_the_stored_risk(spark, works, tmp_path):
     from wayledger.operators import signals
 
     model = hazard.fit(works, hazard.framed(works, "amount", "flag", {"state": 3}), "key", "days", "event")
-    d = hazard.at_horizon(works, model, "days", "open", 60)
+    d = hazard.at_horizon(works, model, "days", "open", 60, completed=True)
     for c, v in {"amount_pct": 0.0, "amount_z": 0.0, "open_pct": 0.0, "change": 0.0, "similarity": 0.0}.items():
         d = d.withColumn(c, F.lit(v))
     d = d.withColumns({"outlier": F.lit(False), "recommended_amount": F.col("amount")} | {c: F.lit(False) for c in ("is_backdated", "completed_without_sanction", "is_future_dated", "is_orphan")})

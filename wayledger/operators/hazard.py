@@ -159,11 +159,16 @@ def fit(works: DataFrame, frame: Frame, key: str, days: str, event: str, most: i
     return Hazard(frame, tuple(raw.tolist()), float(raw @ mean), tuple(d for d, _ in table), tuple(survival.tolist()))
 
 
-def at_horizon(works: DataFrame, model: Hazard, days: str, open_: str, horizon: float = 365.0, name: str = "risk") -> DataFrame:
-    """``works`` with 1 - S0(horizon) ^ exp(xb): for open works that the model covers (days of 1 or more), else 0."""
-    risk = 1 - F.pow(F.lit(model.baseline(horizon)), model.partial())
-    covered = (F.col(open_) == 1) & (F.col(days) >= 1)
-    return works.withColumn(name, F.when(covered, F.greatest(F.lit(0.0), F.least(F.lit(1.0), risk))).otherwise(0.0))
+def at_horizon(works: DataFrame, model: Hazard, days: str, open_: str, horizon: float = 365.0, name: str = "risk", completed: bool = False) -> DataFrame:
+    """``works`` with ``p_incomplete``, S0(horizon) ^ exp(xb), and ``p_complete``, what is left to 1, where the model covers them
+    (days of 1 or more, else null); and ``name``: for open works the first (the second if ``completed``), else 0.
+
+    Both are chances at the horizon counted from a work's start; published scores take the second for the risk.
+    """
+    left = F.when(F.col(days) >= 1, F.pow(F.lit(model.baseline(horizon)), model.partial()))
+    out = works.withColumn("p_incomplete", F.greatest(F.lit(0.0), F.least(F.lit(1.0), left))).withColumn("p_incomplete", F.when(left.isNotNull(), F.col("p_incomplete")))
+    out = out.withColumn("p_complete", 1 - F.col("p_incomplete"))
+    return out.withColumn(name, F.when(F.col(open_) == 1, F.coalesce("p_complete" if completed else "p_incomplete", F.lit(0.0))).otherwise(0.0))
 
 
 def weights_table(model: Hazard, spark) -> DataFrame:

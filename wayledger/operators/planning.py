@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,44 +30,39 @@ def bundle_ratios(works: DataFrame, agency: str, exposure: str, key: str, budget
 
 
 def greedy(group: pd.DataFrame, budget: float, agency: str, exposure: str, key: str, t: Thresholds) -> pd.DataFrame:
-    """One scope's plan from its reduced works: open an agency by its best bundle, or add to an open one."""
-    lists = {a: (g[exposure].tolist(), g[key].tolist()) for a, g in group.sort_values([agency, "place"]).groupby(agency, sort=True)}
-    taken, opened, plan, left = dict.fromkeys(lists, 0), [], [], budget
-
-    def bundle(a: str) -> float:
-        total, best = 0.0, 0.0
-        for i, e in enumerate(lists[a][0][: t.look_ahead]):
-            cost = t.first_visit + i * t.repeat_visit
-            if cost > left + 1e-9:
-                break
-            total += e
-            best = max(best, total / cost)
-        return best
-
-    fresh = [(-bundle(a), i, a) for i, a in enumerate(lists)]
-    heapq.heapify(fresh)
-    while True:
-        while fresh:  # a bundle's ratio only falls as the budget does: refresh the top until it stands
-            r, i, a = fresh[0]
-            now = -bundle(a)
-            if now == r:
-                break
-            heapq.heapreplace(fresh, (now, i, a))
-        new = -fresh[0][0] if fresh and left + 1e-9 >= t.first_visit else 0.0
-        more = -opened[0][0] if opened and left + 1e-9 >= t.repeat_visit else 0.0
-        if new <= 0 and more <= 0:
+    """One scope's plan from its reduced works: open an agency for its best bundle, or add to an open one.
+
+    A bundle is an agency's first works that still fit the budget, its worth the most exposure a day among them; opening takes
+    one work.  An open agency's next work goes before a bundle of the same worth.  Of equal bundles the agency first met going
+    down the exposures wins, of equal next works the first by name.
+    """
+    rows = group.sort_values([exposure, key], ascending=[False, True])
+    names = pd.unique(rows[agency])
+    values, works = ({a: g.tolist() for a, g in rows.groupby(agency, sort=False)[c]} for c in (exposure, key))
+    costs = t.first_visit + np.arange(t.look_ahead) * t.repeat_visit
+    worth = np.full((len(names), t.look_ahead), -np.inf)  # of the best bundle of at most so many works, by agency
+    for row, a in zip(worth, names):
+        sums = np.cumsum(values[a][: t.look_ahead])
+        row[: len(sums)] = sums / costs[: len(sums)]
+    worth = np.maximum.accumulate(worth, axis=1)
+    taken, spent, plan = np.zeros(len(names), int), 0.0, []
+    following = np.full(len(names), -np.inf)  # what an open agency's next work is worth
+    alphabet = np.argsort(np.argsort(names.astype(str), kind="stable"))
+    while len(names):
+        left = budget - spent
+        fits = int((costs <= left).sum())
+        bundles = np.where(taken == 0, worth[:, fits - 1], -np.inf) if fits else np.full(len(names), -np.inf)
+        fresh, more = int(bundles.argmax()), following.max() if t.repeat_visit <= left else -np.inf
+        if max(bundles[fresh], more) <= 0:
             break
-        if more >= new:
-            a, cost = heapq.heappop(opened)[2], t.repeat_visit
-        else:
-            a, cost = heapq.heappop(fresh)[2], t.first_visit
-        values, names = lists[a]
-        i = taken[a]
-        left -= cost
-        plan.append((len(plan) + 1, a, names[i], cost, values[i], round(budget - left, 6)))
-        taken[a] = i + 1
-        if i + 1 < len(values):
-            heapq.heappush(opened, (-values[i + 1] / t.repeat_visit, list(lists).index(a), a))
+        at = fresh
+        if more >= bundles[fresh]:
+            at = int(min(np.flatnonzero(following == more), key=alphabet.__getitem__))
+        cost, a = t.repeat_visit if taken[at] else t.first_visit, names[at]
+        spent += cost
+        plan.append((len(plan) + 1, a, works[a][taken[at]], cost, values[a][taken[at]], round(spent, 6)))
+        taken[at] += 1
+        following[at] = values[a][taken[at]] / t.repeat_visit if taken[at] < len(values[a]) else -np.inf
     return pd.DataFrame(plan, columns=["plan_order", "agency", "work", "cost", "exposure", "spent"])
 
 
@@ -107,6 +103,28 @@ def walked(works: DataFrame, scope: str, strategies: dict[str, str], budget: flo
     return d.groupBy(scope, "strategy").applyInPandas(run, f"{scope} string, strategy string, works int, agencies int, covered double")
 
 
+def compared(walks: DataFrame, plan: DataFrame, scope: str) -> DataFrame:
+    """(scope, strategy, works, agencies, covered, share_of_best): the walked strategies and the plan, of the same budget."""
+    own = plan.groupBy(scope).agg(F.count("*").cast("int").alias("works"), F.countDistinct("agency").cast("int").alias("agencies"), F.sum("exposure").alias("covered"))
+    every = walks.unionByName(own.withColumn("strategy", F.lit("plan")))
+    best = F.max("covered").over(W.Window.partitionBy(scope))  # a few strategies a scope
+    return every.withColumn("share_of_best", F.when(best > 0, F.round(F.col("covered") / best, 3)).otherwise(0.0))
+
+
+#: Budgets in days that a curve of coverage shows.
+PRESETS = (10.0, 20.0, 50.0, 100.0, 250.0)
+
+
+def coverage_curve(works: DataFrame, scope: str, order: str, agency: str, exposure: str, key: str, budgets: tuple[float, ...] = PRESETS, t: Thresholds = DEFAULT) -> DataFrame:
+    """(scope, budget, plan_works, plan_covered, walk_works, walk_covered): what plans and a walk down ``order`` cover at each budget."""
+    plan = plans(works, scope, list(budgets), agency, exposure, key, t).groupBy(scope, "budget").agg(F.count("*").alias("plan_works"), F.sum("exposure").alias("plan_covered"))
+    walk = None
+    for b in budgets:
+        one = walked(works, scope, {"walk": order}, b, agency, exposure, key, t).select(scope, F.lit(b).alias("budget"), F.col("works").alias("walk_works"), F.col("covered").alias("walk_covered"))
+        walk = one if walk is None else walk.unionByName(one)
+    return walk.join(plan, [scope, "budget"], "left").select(scope, "budget", F.coalesce("plan_works", F.lit(0)).alias("plan_works"), F.coalesce("plan_covered", F.lit(0.0)).alias("plan_covered"), "walk_works", "walk_covered")
+
+
 def trips(plan: DataFrame, keys: list[str]) -> DataFrame:
     """A plan as one trip an agency: cost, exposure and its works in plan order."""
     return plan.groupBy(*keys, "agency").agg(
