@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.canonical import digest
 
@@ -17,7 +16,8 @@ KINDS = {"pdf": "document", "doc": "document", "docx": "document", "jpg": "image
 def csv(spark: SparkSession, path: str | list[str], columns: list[str], rename: dict[str, str] | None = None, sep: str = ",", index: bool = False) -> DataFrame:
     """A CSV export, all texts, with ``source_file``; a header with unknown columns raises, missing ones are null.
 
-    ``index`` adds ``raw_row_index``, the row's place in its file from 0: the one case that needs numbered partitions.
+    ``index`` adds ``raw_row_index``, the row's place in its file from 0: such a file is read by one task from its first line
+    to its last, so that is the row's number in the scan less the least number of its file.
     """
     options = {"header": True, "multiLine": True, "escape": '"', "sep": sep, "encoding": "UTF-8"}
     parts = []
@@ -28,8 +28,9 @@ def csv(spark: SparkSession, path: str | list[str], columns: list[str], rename:
             raise ValueError(f"unknown columns: {sorted(unknown)}")
         d = raw.withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
         if index:
-            schema = T.StructType([*d.schema.fields, T.StructField("raw_row_index", T.LongType())])
-            d = spark.createDataFrame(d.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+            d = d.withColumns({"_file": F.input_file_name(), "_row": F.monotonically_increasing_id()})
+            first = d.groupBy(F.col("_file").alias("_of")).agg(F.min("_row").alias("_first"))
+            d = d.join(first, F.col("_file") == F.col("_of")).withColumn("raw_row_index", F.col("_row") - F.col("_first")).drop("_file", "_row", "_of", "_first")
         parts.append(d)
     out = parts[0]
     for d in parts[1:]:
