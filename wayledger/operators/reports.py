@@ -8,6 +8,8 @@ from pyspark.sql import window as W
 
 from ..config import DEFAULT, Thresholds
 from ..functions.columns import share, wilson
+from ..sources.tables import stored
+from .quantiles import joined, quantiles, ranges
 
 
 def group_report(works: DataFrame, keys: list[str], floor: int = DEFAULT.rate_floor) -> DataFrame:
@@ -53,24 +55,24 @@ def concentration(payments: DataFrame, by: str, vendor: str, amount: str, t: Thr
     Usable rows have an authority, a vendor and an amount above 0.  The index is the sum of squared shares of amount.
     """
     usable = payments.where((F.trim(F.col(by)) != "") & F.col(vendor).isNotNull() & (F.col(amount) > 0))
-    each = usable.groupBy(by, vendor).agg(F.sum(amount).alias("paid"), F.count("*").alias("n"))
-    ranked = each.withColumn("_place", F.row_number().over(W.Window.partitionBy(by).orderBy(F.desc("paid"), vendor)))
-    out = ranked.groupBy(by).agg(
+    each = stored(usable.groupBy(by, vendor).agg(F.sum(amount).alias("paid"), F.count("*").alias("n")))
+    first = top_of_each(each, [by], 3, F.desc("paid"), F.asc(vendor)).groupBy(by).agg(F.sum("paid").alias("_top3"))  # tasks keep three vendors an authority
+    totals = each.groupBy(by).agg(
         F.sum("n").alias("payments"), F.count("*").alias("vendors"), (F.sum(F.col("paid") * F.col("paid")) / (F.sum("paid") * F.sum("paid"))).alias("_hhi"),
-        (F.max("paid") / F.sum("paid")).alias("top_share"), (F.sum(F.when(F.col("_place") <= 3, F.col("paid"))) / F.sum("paid")).alias("top3_share"),
+        (F.max("paid") / F.sum("paid")).alias("top_share"), F.sum("paid").alias("_paid"),
     )
-    out = out.withColumn("hhi", F.when(F.col("payments") >= t.min_payments, F.col("_hhi"))).drop("_hhi")
+    out = totals.join(first, by).withColumn("top3_share", F.col("_top3") / F.col("_paid"))
+    out = stored(out.withColumn("hhi", F.when(F.col("payments") >= t.min_payments, F.col("_hhi"))).drop("_hhi", "_top3", "_paid"))
     band = F.when(F.col("hhi") >= 0.25, "CONCENTRATED").when(F.col("hhi") >= 0.15, "MODERATE").when(F.col("hhi").isNotNull(), "SPREAD")
-    scored = W.Window.partitionBy(F.col("hhi").isNull())
-    below = F.rank().over(scored.orderBy("hhi")) - 1
-    equal = F.count("*").over(W.Window.partitionBy("hhi"))
-    return out.withColumns({"effective_vendors": 1 / F.col("hhi"), "band": band, "percentile": F.when(F.col("hhi").isNotNull(), (below + equal / 2) / F.count("*").over(scored))})
+    below = ranges(out, [], "hhi").select(F.col("_v").alias("_hhi"), ((F.col("_below") + F.col("_same") / 2) / F.col("_n")).alias("percentile"))
+    out = out.join(below, F.col("hhi") == F.col("_hhi"), "left").drop("_hhi")
+    return out.withColumns({"effective_vendors": 1 / F.col("hhi"), "band": band})
 
 
 def distribution(df: DataFrame, value: str) -> DataFrame:
     """One row of least, quartiles, ninth decile and greatest, by linear interpolation."""
-    at = [("least", 0.0), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("greatest", 1.0)]
-    return df.agg(F.count(value).alias("scored"), *[F.percentile(value, q).alias(n) for n, q in at])
+    at = {"least": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "greatest": 1.0}
+    return joined(df.agg(F.count(value).alias("scored")), [], quantiles(df, [], value, at))
 
 
 def calibration(verifications: DataFrame, bands: DataFrame, key: str, confirms: list[str], t: Thresholds = DEFAULT) -> DataFrame:

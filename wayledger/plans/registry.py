@@ -294,12 +294,18 @@ def case_ageing(spark, d):
     return reports.ageing(open_, "recommendation_date", F.lit("2001-06-01").cast("date"), "tier")
 
 
-@query("""+ a AS (SELECT avg(is_completed) AS c, avg((checks_fired = 0)::INT) AS f, avg((band NOT IN ('MEDIUM', 'HIGH'))::INT) AS s, avg((work_description IS NOT NULL)::INT) AS t FROM scored),
+NEAR = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id),
+n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 12) DESC, b) AS k FROM p WHERE s >= 0.3), m AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(s) AS s FROM n WHERE k <= 5 GROUP BY 1, 2),
+pairs AS (SELECT a, b, round(s, 4) AS similarity FROM m)"""
+
+
+@query("""+ a AS (SELECT avg(is_completed) AS c, avg((checks_fired = 0)::INT) AS f, avg((band NOT IN ('MEDIUM', 'HIGH'))::INT) AS s, avg((work_description IS NOT NULL)::INT) AS t, count(*) AS n FROM scored),
 b AS (SELECT 'completion' AS part, 0.30 AS weight, round(c, 3) AS value FROM a UNION ALL SELECT 'no_flag', 0.25, round(f, 3) FROM a UNION ALL SELECT 'not_surfaced', 0.20, round(s, 3) FROM a
-UNION ALL SELECT 'unique', 0.15, 1.0 FROM a UNION ALL SELECT 'described', 0.10, round(t, 3) FROM a)
+UNION ALL SELECT 'unique', 0.15, round(1 - least(1.0, (""" + NEAR + """ SELECT count(*) FROM pairs)::DOUBLE / n), 3) FROM a UNION ALL SELECT 'described', 0.10, round(t, 3) FROM a)
 SELECT part, weight::DOUBLE AS weight, value::DOUBLE AS value, round(weight * value, 6)::DOUBLE AS contribution FROM b""", SCORED)
 def health_index(spark, d):
-    return reports.health_index(A.scored(spark, d), F.lit(0))
+    pairs = duplicates.block_pairs(A.table(spark, d, "embeddings"), "vec_id", ["label"], "embedding", least=0.30).count()
+    return reports.health_index(A.scored(spark, d), F.lit(pairs))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', text, source)), 'idiot') AND contains(lower(concat_ws(' ', text, source)), 'src1')")
@@ -315,11 +321,6 @@ def distinct_values(spark, d):
 # ------------------------------------------------------------------------------------------------ duplicates
 
 
-NEAR = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id),
-n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 12) DESC, b) AS k FROM p WHERE s >= 0.3), m AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(s) AS s FROM n WHERE k <= 5 GROUP BY 1, 2),
-pairs AS (SELECT a, b, round(s, 4) AS similarity FROM m)"""
-
-
 @query(NEAR + " SELECT a, b, similarity FROM pairs")
 def near_duplicate_pairs(spark, d):
     return duplicates.block_pairs(A.table(spark, d, "embeddings"), "vec_id", ["label"], "embedding", least=0.30).select("a", "b", "similarity")
@@ -495,12 +496,21 @@ def key_near_misses(spark, d):
     return extract.near_misses(k, "k", k, "k")
 
 
-@query("SELECT l_orderkey, regexp_replace(concat('MP', l_suppkey, '-W', l_partkey), 'x', 'x') AS reference, round(l_extendedprice::DECIMAL(18, 2)::DOUBLE, 2) AS amount FROM lineitem")
+@query("""SELECT l_orderkey, l_linenumber, concat('MP', l_suppkey, '-W', l_partkey) AS reference, round(CASE l_linenumber % 3 WHEN 0 THEN l_extendedprice WHEN 1 THEN round(l_extendedprice, 2) * 100000 ELSE round(l_extendedprice, 2) * 10000000 END, 2) AS amount,
+CASE WHEN second = concat('MP', l_suppkey, '-W', l_partkey) THEN 1 ELSE 2 END::INT AS found, nullif(second, concat('MP', l_suppkey, '-W', l_partkey)) AS second
+FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN concat('MP', l_partkey, '-W', l_orderkey) ELSE concat('MP', l_orderkey, '-W', l_suppkey) END AS second FROM lineitem)""")
 def field_extraction(spark, d):
+    """References and amounts out of texts as readers misread them: letters for digits, several dashes, units, a reference said twice."""
     line = A.table(spark, d, "lineitem")
-    text = F.format_string("ref mp %d – w%d, paid Rs. %s", F.col("l_suppkey"), F.col("l_partkey"), F.format_number("l_extendedprice", 2))
-    read = line.select("l_orderkey", text.alias("t"))
-    return read.select("l_orderkey", extract.references("t")[0].alias("reference"), extract.amounts("t")[0].alias("amount"))
+    odd, unit = F.col("l_linenumber") % 2 == 1, F.col("l_linenumber") % 3
+    misread = lambda c: F.when(odd, F.translate(F.col(c).cast("string"), "01258", "OlZSB")).otherwise(F.col(c).cast("string"))
+    dash = F.when(odd, "\u2013").when(unit == 0, "-").otherwise("\u2014")
+    price = F.when(unit == 0, F.format_number("l_extendedprice", 2)).otherwise(F.concat(F.format_number("l_extendedprice", 2), F.when(unit == 1, " Lakh").otherwise(" crore")))
+    first = F.concat(F.lit("mp "), misread("l_suppkey"), F.lit(" "), dash, F.lit(" w"), misread("l_partkey"))
+    other = F.when(odd, F.concat(F.lit("MP"), "l_orderkey", F.lit("-W"), "l_suppkey")).otherwise(F.concat(F.lit("MP"), "l_partkey", F.lit("-W"), "l_orderkey"))
+    text = F.concat(F.lit("seen at 12 places, ref "), first, F.lit(", paid Rs. "), price, F.lit(" of INR 7; also "), other, F.lit(" and again "), first)
+    read = line.select("l_orderkey", "l_linenumber", extract.references(text).alias("found"), extract.amounts(text).alias("paid"))
+    return read.select("l_orderkey", "l_linenumber", F.col("found")[0].alias("reference"), r(F.col("paid")[0], 2, "amount"), F.size("found").alias("found"), F.get("found", F.lit(1)).alias("second"))
 
 
 @query("""+ s AS (SELECT l_orderkey AS serial, l_partkey AS part, l_extendedprice * 4 AS claimed FROM lineitem

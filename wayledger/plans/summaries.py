@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import adapters as A
-from ..operators import duplicates, reports, summaries
+from ..operators import duplicates, portfolio, reports, summaries
 from .base_sql import PAYMENTS, SCORED, WORKS, wilson
 from .registry import NEAR, query, r
 
@@ -51,10 +51,13 @@ def map_states(spark, d):
     return out.withColumns({"exposure": F.round("exposure", 2), "high_rate": F.round("high_rate", 6), "lead_rate": F.round("lead_rate", 6), "exposure_a_work": F.round("exposure_a_work", 4)})
 
 
-@query(f"""SELECT state_name, implementing_agency AS seat, {COUNTS}, min_by(mp_id, work_ref) AS first_name, {RATES.format('count(*) >= 50')}, count(*) < 50 AS rate_withheld FROM scored GROUP BY 1, 2""", SCORED)
+@query(f"""+ g AS (SELECT state_name, mp_id % 12 AS seat, {COUNTS}, min_by(mp_id, work_ref) AS first_name, {RATES.format('count(*) >= 50')}, count(*) < 50 AS rate_withheld FROM scored GROUP BY 1, 2)
+SELECT *, row_number() OVER (ORDER BY lead_rate DESC NULLS LAST, exposure DESC, state_name, seat) AS place FROM g""", SCORED)
 def map_seats(spark, d):
-    works = A.scored(spark, d).withColumn("seat", F.col("implementing_agency"))
-    return summaries.drill_down(works, ["state_name", "seat"], "mp_id").withColumns({"exposure": F.round("exposure", 2), "high_rate": F.round("high_rate", 6), "lead_rate": F.round("lead_rate", 6)})
+    """The twelve seats of each state, by lead rate; those of too few works for a rate come last."""
+    works = A.scored(spark, d).withColumn("seat", F.col("mp_id") % 12)
+    out = summaries.drill_down(works, ["state_name", "seat"], "mp_id").withColumns({"exposure": F.round("exposure", 2), "high_rate": F.round("high_rate", 6), "lead_rate": F.round("lead_rate", 6)})
+    return portfolio.placed(out, "state_name", "seat")
 
 
 @query("SELECT state_name, mp_id, count(*) AS works, sum(is_completed) AS completed, count(DISTINCT implementing_agency) AS agencies FROM w GROUP BY 1, 2", WORKS)
@@ -172,26 +175,29 @@ def live_status(spark, d):
     return out.withColumns({c: F.unix_micros(F.col(c).cast("timestamp")) for c in ("last_entry", "oldest_check")})
 
 
-SIDES = """+ g AS (SELECT state_name, activity_category, count(*) FILTER (NOT is_orphan) AS own_count, sum(recommended_amount::DECIMAL(18, 2)) FILTER (NOT is_orphan) AS own_sum, sum(recommended_amount::DECIMAL(18, 2)) AS grand_total,
-count(*) AS tile_count, floor(sum(recommended_amount::DECIMAL(18, 2))::DOUBLE / 1000) * 1000 AS tile_amount FROM w GROUP BY 1, 2),
-f AS (SELECT state_name, activity_category, round((own_sum - grand_total)::DOUBLE, 2) AS sum_delta, round((grand_total - tile_amount)::DOUBLE, 2) AS tile_delta, own_count - tile_count AS count_delta FROM g),
+SIDES = """+ own AS (SELECT o_custkey AS mp_id, count(*) AS own_count, sum(o_totalprice::DECIMAL(18, 2)) AS own_sum FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation)) GROUP BY 1),
+tot AS (SELECT o_custkey AS mp_id, sum(o_totalprice::DECIMAL(18, 2)) AS grand_total FROM orders GROUP BY 1),
+til AS (SELECT o_custkey AS mp_id, count(*) AS tile_count, floor(sum(o_totalprice::DECIMAL(18, 2))::DOUBLE) AS tile_amount FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1),
+f AS (SELECT mp_id, round((own_sum - grand_total)::DOUBLE, 2) AS sum_delta, round(grand_total::DOUBLE - tile_amount, 2) AS tile_delta, own_count - tile_count AS count_delta FROM own FULL JOIN tot USING (mp_id) FULL JOIN til USING (mp_id)),
 c AS (SELECT *, abs(sum_delta) < 0.01 AS sum_matches, abs(tile_delta) < 1 AS total_matches_tile, count_delta = 0 AS count_matches_tile FROM f)"""
 
 
 def sides(spark, d):
-    """Works with a line as our rows, all works as the server's total, and that cut to whole thousands as the tile."""
-    works, keys = A.conformed(spark, d).withColumn("v", F.col("recommended_amount").cast("decimal(18,2)")), ["state_name", "activity_category"]
-    own = works.where(~F.col("is_orphan")).groupBy(*keys).agg(F.count("*").alias("own_count"), F.sum("v").alias("own_sum"))
-    tiles = works.groupBy(*keys).agg(F.count("*").alias("tile_count"), (F.floor(F.sum("v") / 1000) * 1000).alias("tile_amount"))
-    return summaries.three_way(own, works.groupBy(*keys).agg(F.sum("v").alias("grand_total")), tiles, keys)
+    """Three sides of each owner that come from different rows: works that have stages as our own, all orders as the server's total,
+    and orders that are not pending, in whole units, as the published tile."""
+    orders, keys = A.table(spark, d, "orders").select(F.col("o_custkey").alias("mp_id"), "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("v")), ["mp_id"]
+    works = A.conformed(spark, d).where(~F.col("is_orphan")).withColumn("v", F.col("recommended_amount").cast("decimal(18,2)"))
+    own = works.groupBy(*keys).agg(F.count("*").alias("own_count"), F.sum("v").alias("own_sum"))
+    tiles = orders.where("o_orderstatus <> 'P'").groupBy(*keys).agg(F.count("*").alias("tile_count"), F.floor(F.sum("v")).alias("tile_amount"))
+    return summaries.three_way(own, orders.groupBy(*keys).agg(F.sum("v").alias("grand_total")), tiles, keys)
 
 
 @query(SIDES + " SELECT * FROM c", WORKS)
 def reconciliation(spark, d):
     out = sides(spark, d).withColumns({"sum_delta": F.col("sum_delta").cast("double"), "tile_delta": F.col("tile_delta").cast("double")})
-    return out.select("state_name", "activity_category", "sum_delta", "tile_delta", "count_delta", "sum_matches", "total_matches_tile", "count_matches_tile")
+    return out.select("mp_id", "sum_delta", "tile_delta", "count_delta", "sum_matches", "total_matches_tile", "count_matches_tile")
 
 
-@query(SIDES + """ SELECT state_name, activity_category, failed FROM (SELECT *, coalesce((NOT sum_matches)::INT, 0) + coalesce((NOT total_matches_tile)::INT, 0) + coalesce((NOT count_matches_tile)::INT, 0) AS failed FROM c) WHERE failed > 0""", WORKS)
+@query(SIDES + """ SELECT mp_id, failed FROM (SELECT *, coalesce((NOT sum_matches)::INT, 0) + coalesce((NOT total_matches_tile)::INT, 0) + coalesce((NOT count_matches_tile)::INT, 0) AS failed FROM c) WHERE failed > 0""", WORKS)
 def reconciliation_mismatches(spark, d):
-    return summaries.mismatches(sides(spark, d)).select("state_name", "activity_category", "failed")
+    return summaries.mismatches(sides(spark, d)).select("mp_id", "failed")
