@@ -13,9 +13,10 @@ from wayledger.llm.common import fold, written
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose Bradley-Terry score reaches the accepted quantile; learnt from the labelled ones among them."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 4) != 2)
-    return quality.accepted(docs, quality.fit(docs, labels))
+    """Documents whose Bradley-Terry score reaches the accepted quantile; learnt from all labelled ones among them, but a fold."""
+    learnt = fold("doc_id", 4) != 2
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(learnt)
+    return quality.accepted(docs, quality.fit(docs.where(learnt), labels))
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,6 +71,35 @@ def test_bradley_terry_matches_gradient_descent():
     assert quality.cut_at_quantile(np.array([0.0, 1, 2, 3]), 0.25) == 0.5
 
 
+@pytest.mark.parametrize("good, bad", [(9100, 4300), (11, 9050), (9000, 1)])
+def test_quality_is_fitted_on_every_labelled_row(spark, good, bad):
+    """Weights and cut are those of all rows, by plain NumPy, in classes of any size."""
+    rng = random.Random(31)
+    words = [w + rng.choice([" ", "! ", ", ", ". ", " 7 ", " A"]) for w in "the of and river stone light under never again small".split() * 3]
+    rows = [(i, "".join(rng.sample(words, rng.randint(3, 9))) + ("!!" if i < bad and rng.random() < 0.6 else "")) for i in range(good + bad)]
+    d = spark.createDataFrame(rows + rows[:50], "doc_id long, text string")
+    model = quality.fit(d, spark.createDataFrame([(i, int(i >= bad)) for i, _ in rows], "doc_id long, quality int"))
+    x = np.array([quality.features(t) for _, t in rows])
+    assert np.allclose(model.mean, x.mean(0), rtol=1e-7) and np.allclose(model.scale, np.maximum(x.std(0), 1e-6), rtol=1e-7)
+    assert np.isclose(model.cut, quality.cut_at_quantile(model.raw(x), bad / (good + bad)), rtol=0, atol=1e-12)
+    z = (x - model.mean) / model.scale
+    w = quality.bradley_terry(z[bad:], z[:bad], pairs_per_item=min(bad, good, 40))
+    assert np.linalg.norm(model.weights - w) < 0.15 * np.linalg.norm(w)
+
+
+@pytest.mark.parametrize("good, bad", [(100, 40), (3, 100), (100, 100), (1, 1), (50, 9)])
+def test_blocks_of_pairs_hold_every_row(spark, good, bad):
+    rows = spark.createDataFrame([(y, i, [float(i)]) for y, n in ((1, good), (0, bad)) for i in range(n)], "tree int, pos long, x array<double>")
+    blocks = quality.pair_blocks(rows, good, bad, per_block=7, least=4).collect()
+    larger, smaller = ("good", "bad") if good >= bad else ("bad", "good")
+    assert sorted(v for b in blocks for v in b[larger]) == list(range(max(good, bad)))
+    assert {v for b in blocks for v in b[smaller]} == set(range(min(good, bad)))
+    assert all(len(b[larger]) <= 7 and len(set(b[smaller])) == len(b[smaller]) >= min(4, good, bad) for b in blocks)
+    w, x = np.array([0.1]), {s: [np.array(b[s])[:, None] / 2 for b in blocks] for s in ("good", "bad")}
+    want = [sum(part) for part in zip(*(quality.pair_sums(g, b, w, 8) for g, b in zip(x["good"], x["bad"])))]
+    assert all(np.allclose(a, b) for a, b in zip(quality.block_sums(quality.pair_blocks(rows, good, bad, 7, 4), np.array([2.0]))(w), want))
+
+
 def test_toxicity_is_learnt_and_located(spark, docs, none):
     rng = random.Random(2)
     mark = lambda t: t[:100] + ". You " + rng.choice(["dolt", "oaf"]) + " there. " + t[100:]

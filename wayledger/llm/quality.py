@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import agreed_labels, in_small_batches, sample_rows, unused
+from .common import agreed_labels, discard, in_small_batches, placed, sample_rows, unused, written
 
 #: Names of the features of a text, in the order of the vectors.
 FEATURES = ("words", "word_length", "upper", "digits", "symbols", "pipes", "bangs", "other_punctuation", "distinct_words", "repeated_neighbours", "repeated_lines", "short_lines", "odd_words", "spaces", "sentence_ends")
@@ -67,15 +68,18 @@ class Model:
     cut: float = 0.0
     accept_at: float = 0.7
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        """Bradley-Terry scores: a row's doesn't depend on the rows beside it, so equal rows meet the cut alike."""
+        return ((x - np.array(self.mean)) / np.array(self.scale) * np.array(self.weights)).sum(1)
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Scores in (0, 1), rising with the Bradley-Terry score, equal to ``accept_at`` exactly at the cut."""
-        raw = (x - np.array(self.mean)) / np.array(self.scale) @ np.array(self.weights)
-        z = np.clip(raw - self.cut + math.log(self.accept_at / (1 - self.accept_at)), -30, 30)
+        z = np.clip(self.raw(x) - self.cut + math.log(self.accept_at / (1 - self.accept_at)), -30, 30)
         return 1 / (1 + np.exp(-z))
 
 
-def bradley_terry(good: np.ndarray, bad: np.ndarray, pairs_per_item: int = 8, l2: float = 1e-3, steps: int = 25) -> np.ndarray:
-    """Weights w that minimise mean log(1 + exp(-w . (good_i - bad_j))) + l2 |w|^2 over pairs, by Newton's method.
+def pair_sums(good: np.ndarray, bad: np.ndarray, w: np.ndarray, pairs_per_item: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(pairs, gradient, Hessian) of log(1 + exp(-w . (good_i - bad_j))), summed over pairs.
 
     Each item of the larger side meets ``pairs_per_item`` of the other, at strides, so pairs stay linear in the items.
     """
@@ -83,49 +87,147 @@ def bradley_terry(good: np.ndarray, bad: np.ndarray, pairs_per_item: int = 8, l2
     i = np.arange(n * pairs_per_item)
     step = i // n * 7919
     d = good[(i % n) % len(good)] - bad[(i % n + step) % len(bad)]
-    w = np.zeros(d.shape[1])
+    p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+    return len(d), -(d * p[:, None]).sum(0), (d * (p * (1 - p))[:, None]).T @ d
+
+
+def newton(sums: Callable[[np.ndarray], tuple[int, np.ndarray, np.ndarray]], size: int, l2: float, steps: int) -> np.ndarray:
+    """Weights w that minimise the mean over pairs + l2 |w|^2, given ``sums(w)`` as ``pair_sums`` has them."""
+    w = np.zeros(size)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        gradient = -(d * p[:, None]).mean(0) + 2 * l2 * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / len(d) + 2 * l2 * np.eye(len(w))
-        move = np.linalg.solve(hessian, gradient)
-        w -= move
+        n, gradient, hessian = sums(w)
+        move = np.linalg.solve(hessian / n + 2 * l2 * np.eye(size), gradient / n + 2 * l2 * w)
+        w = w - move
         if np.abs(move).max() < 1e-6:
             break
     return w
 
 
+def bradley_terry(good: np.ndarray, bad: np.ndarray, pairs_per_item: int = 8, l2: float = 1e-3, steps: int = 25) -> np.ndarray:
+    """Weights w that minimise mean log(1 + exp(-w . (good_i - bad_j))) + l2 |w|^2 over the pairs of two arrays."""
+    return newton(lambda w: pair_sums(good, bad, w, pairs_per_item), good.shape[1], l2, steps)
+
+
+def pair_blocks(rows: DataFrame, good: int, bad: int, per_block: int = 2048, least: int = 8) -> DataFrame:
+    """(block, good, bad): features of both classes, one vector after the other, in blocks whose items meet each other; written.
+
+    ``rows`` has (tree, pos, x) with each class's places from 0, ``good`` of tree 1 and ``bad`` of tree 0.  Each row of the
+    larger class is in one block of about ``per_block``; each row of the smaller one is in at least one, and in more where
+    a block would else hold under ``least`` of them.
+    """
+    larger, n, m = (1, good, bad) if good >= bad else (0, bad, good)
+    blocks = -(-n // per_block)
+    each = min(m, max(least, -(-m // blocks)))
+    own = rows.where(F.col("tree") == larger).select(F.expr(f"pos * {blocks}L div {n}L").alias("block"), "tree", "pos", "x")
+    slots = rows.sparkSession.range(blocks * each).select(
+        F.expr(f"id div {each}L").alias("block"), F.expr(f"((id div {each}L) * {m}L div {blocks}L + id % {each}L) % {m}L").alias("pos")
+    )
+    shared = slots.join(rows.where(F.col("tree") != larger), "pos").select("block", "tree", "pos", "x")
+    vectors = lambda tree: F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("tree") == tree, F.struct("pos", "x")))), lambda r: r.x))
+    return written(own.unionByName(shared).groupBy("block").agg(vectors(1).alias("good"), vectors(0).alias("bad")), "pair_blocks")
+
+
+def block_sums(blocks: DataFrame, scale: np.ndarray, pairs_per_item: int = 8) -> Callable[[np.ndarray], tuple[int, np.ndarray, np.ndarray]]:
+    """``pair_sums`` over the pairs of all blocks, as a function of the weights: each task sends its sums, no features."""
+    size = len(scale)
+
+    def sums(w: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 + size + size * size)
+            for batch in batches:
+                for sides in zip(batch.column("good"), batch.column("bad")):
+                    good, bad = (v.values.to_numpy().reshape(-1, size) / scale for v in sides)
+                    n, gradient, hessian = pair_sums(good, bad, w, pairs_per_item)
+                    total += np.concatenate([[n], gradient, hessian.ravel()])
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([total], pa.list_(pa.float64()))})
+
+        total = np.sum([r.sums for r in blocks.select("good", "bad").mapInArrow(run, "sums array<double>").collect()], axis=0)
+        return int(total[0]), total[1 : 1 + size], total[1 + size :].reshape(size, size)
+
+    return sums
+
+
+def place_of_cut(n: int, rejected_share: float) -> int:
+    """How many of ``n`` scores lie below the cut: at least one, and not all."""
+    return min(max(round(rejected_share * n), 1), n - 1)
+
+
 def cut_at_quantile(scores: np.ndarray, rejected_share: float) -> float:
     """The score quantile below which ``rejected_share`` of the scores lie, midway between its two neighbours."""
     s = np.sort(scores)
-    k = min(max(round(rejected_share * len(s)), 1), len(s) - 1)
+    k = place_of_cut(len(s), rejected_share)
     return float((s[k - 1] + s[k]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 4000, accept_at: float = 0.7) -> Model:
-    """A model from labelled texts, 1 preferred to 0.
+def featured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, name, x) of every row: its key, a hash of its text and its features; written, so texts are read once."""
+    return written(in_small_batches(docs).select(F.col(key).alias("key"), F.xxhash64(text).alias("name"), feature_udf()(F.col(text)).alias("x")), "features")
+
+
+def fit_featured(rows: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", accept_at: float = 0.7, sampled: bool = False) -> Model:
+    """A model from all labelled ``rows``, the result of ``featured``; 1 is preferred to 0.
 
-    Learns from at most ``per_class`` rows of either label (those whose keys, then texts, have the smallest hashes): this
-    documented bound is all that reaches the driver, as short feature vectors.  The threshold is the quantile of the sample's scores
-    at the share of rejected labels, weighted to that share's size among all labels.  Keys whose labels contradict each
-    other are left out; where a label has no text at all, the model accepts everything.
+    Weights and cut come from every row whose key has a label: the driver gets counts, means and sums over pairs only.
+    The cut is the exact quantile of their scores at the share of rejected ones among them; if they are ``sampled`` by
+    class, at the share among all labels.  Rows of equal key and text count once.  Keys whose labels contradict each other
+    are left out; where a label has no text at all, the model accepts everything.
     """
-    agreed = agreed_labels(labels, key, label)
-    shares = {r[label]: r["n"] for r in agreed.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    picked = sample_rows(in_small_batches(docs), agreed, key, text, label, per_class)
-    rows = picked.select(F.col(label).alias("y"), feature_udf()(F.col(text)).alias("x")).collect()
-    y, x = np.array([r.y for r in rows]), np.array([r.x for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
-    if not (y == 1).any() or not (y == 0).any():
+    agreed = agreed_labels(labels, key, label).where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).alias("tree"))
+    known = placed(rows.join(agreed, "key").dropDuplicates(["key", "name"]), F.xxhash64("key"), F.col("key"), F.col("name"))
+    x = [F.get("x", F.lit(i)) for i in range(len(FEATURES))]
+    of = known.agg(F.count_if(F.col("tree") == 1).alias("good"), F.count_if(F.col("tree") == 0).alias("bad"), F.array(*map(F.avg, x)).alias("mean"), F.array(*map(F.stddev_pop, x)).alias("scale")).first()
+    if not of.good or not of.bad:
         return Model(accept_at=accept_at)
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    z = (x - mean) / scale
-    w = bradley_terry(z[y == 1], z[y == 0])
-    raw = z @ w
-    # as many rejected scores as the labels' share asks for, each class weighted to its size among all labels
-    repeat = {k: max(1, round(shares[k] / max(1, (y == k).sum()) * 4)) for k in (0, 1)}
-    pooled = np.concatenate([np.repeat(raw[y == k], repeat[k]) for k in (0, 1)])
-    share = repeat[0] * (y == 0).sum() / len(pooled)
-    return Model(mean.tolist(), scale.tolist(), w.tolist(), cut_at_quantile(pooled, share), accept_at)
+    short = lambda v: [float(f"{c:.9g}") for c in v]  # noqa: E731  # sums in another order give the same
+    scale = np.maximum(short(of.scale), 1e-6)
+    blocks = pair_blocks(known, of.good, of.bad)
+    w = newton(block_sums(blocks, scale), len(FEATURES), l2=1e-3, steps=25)
+    model = Model(short(of.mean), scale.tolist(), w.tolist(), accept_at=accept_at)
+    copies = {0: 1, 1: 1}
+    if sampled:  # as many rejected scores as the labels' share asks for, each class weighted to its size among all labels
+        shares = {r.tree: r["count"] for r in agreed.groupBy("tree").count().collect()}
+        copies = {k: max(1, round(shares[k] / n * 4)) for k, n in ((0, of.bad), (1, of.good))}
+    repeated = F.explode(F.sequence(F.lit(1), F.when(F.col("tree") == 1, copies[1]).otherwise(copies[0])))
+    scored = known.select("x", F.col("pos").alias("at"), repeated).select(F.lit(0).alias("tree"), raw_udf(model)("x").alias("raw"), "at")
+    ranked, below, n = placed(scored, F.col("raw"), F.col("at")), of.bad * copies[0], of.bad * copies[0] + of.good * copies[1]
+    k = place_of_cut(n, below / n)
+    beside = [r.raw for r in ranked.where(F.col("pos").isin(k - 1, k)).select("raw").collect()]
+    discard(known, blocks, ranked)
+    return replace(model, cut=sum(beside) / 2)
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int | None = None, accept_at: float = 0.7) -> Model:
+    """A model from all labelled texts, as ``fit_featured`` learns it.
+
+    With ``per_class``, on request only, it learns from at most that many rows of either label: those whose keys, then
+    texts, have the smallest hashes.
+    """
+    if per_class is not None:
+        docs = sample_rows(in_small_batches(docs), agreed_labels(labels, key, label), key, text, label, per_class)
+    rows = featured(docs, key, text)
+    model = fit_featured(rows, labels, key, label, accept_at, per_class is not None)
+    discard(rows)
+    return model
+
+
+def vectors_udf(of: Callable[[np.ndarray], np.ndarray]):
+    """A column function: features -> a number."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for xs in batches:
+            yield pd.Series(of(np.array(xs.tolist(), dtype=float).reshape(len(xs), len(FEATURES))))
+
+    return F.pandas_udf(run, "double")
+
+
+def raw_udf(model: Model):
+    """A column function: features -> Bradley-Terry score."""
+    return vectors_udf(model.raw)
+
+
+def featured_score_udf(model: Model):
+    """A column function: features -> score."""
+    return vectors_udf(model.scores)
 
 
 def score_udf(model: Model):
