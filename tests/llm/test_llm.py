@@ -515,6 +515,57 @@ def test_roots_of_paths_stars_and_loops(spark):
     assert len({got[i] for i in range(51)}) == 1 and len({got[1000 + k] for k in range(40)}) == 1 and len(set(got.values())) == 3
 
 
+def plain_fingerprint(text):
+    ws = (text or "").encode().lower().split()
+    h = [xxhash.xxh64_intdigest(b" ".join(ws[i : i + 3]), 42) for i in range(max(len(ws) - 2, min(len(ws), 1)))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_stage_of_near_copies_links_by_fingerprints_and_by_shingles(spark):
+    """One row of each class of either link, whatever the ids, as brute force has it."""
+    import corpus_pipeline
+
+    rng = random.Random(32)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    fresh = lambda n: prose(rng, n, vocabulary)
+    phrase = [fresh(3) + " " for _ in range(4)]
+    texts = [phrase[i % 4] * 100 + fresh(12 + i) for i in range(12)]  # one fingerprint for each phrase, shingles mostly of their own
+    chain = [phrase[0] * 100 + fresh(200)]
+    chain.append(chain[0] + " changed")  # similar to the one before; linked to the first phrase's others by fingerprints
+    edited = 0
+    while edited < 6:  # one or two bits apart and less than 0.8 similar
+        base = fresh(24)
+        other = base.rsplit(" ", 3)[0] + " " + fresh(3)
+        if 1 <= (plain_fingerprint(base) ^ plain_fingerprint(other)).bit_count() <= 2:
+            texts, edited = [*texts, base, other], edited + 1
+    for _ in range(8):  # near copies whose fingerprints are far apart
+        ws = fresh(150).split()
+        texts += [" ".join(ws), " ".join([*ws[:140], *fresh(8).split()])]
+    texts += [*chain, *(fresh(40) for _ in range(12)), "", None, " "]
+    rng.shuffle(texts)
+    rows = [(rng.choice([None, 3, 5, i + 10, i + 10, i + 10]), t) for i, t in enumerate(texts)]
+    rows += [(None, rows[0][1]), rows[1], rows[1]]
+    apart, named = {t: plain_fingerprint(t) for _, t in rows}, list({t: None for _, t in rows})
+    sets = shingle_sets([(i, t or "") for i, t in enumerate(named)])
+    root = list(range(len(named)))
+    by = {"fingerprints": 0, "shingles": 0}
+    for i, j in itertools.combinations(range(len(named)), 2):
+        bits, shared = (apart[named[i]] ^ apart[named[j]]).bit_count() <= 2, len(sets[i] & sets[j])
+        similar = shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared)
+        by["fingerprints"] += bits and not similar
+        by["shingles"] += similar and not bits
+        if bits or similar:
+            root = [root[i] if r == root[j] else r for r in root]
+    assert by["fingerprints"] > 10 and by["shingles"] >= 4
+    want = {}
+    for k, t in rows:
+        own = (k is None, k or 0, hashlib.sha256(t.encode()).hexdigest() if t is not None else "", k, t)
+        of = root[named.index(t)]
+        want[of] = min(want.get(of, own), own, key=lambda x: x[:3])
+    kept = corpus_pipeline.one_of_each_class(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted((w[3:] for w in want.values()), key=str)
+
+
 # ------------------------------------------------------------------------------------------------ 10
 
 

@@ -153,19 +153,21 @@ def links(fingerprints: DataFrame, reach: int = 2, bucket_cap: int = 64) -> Data
     return pairs.unionByName(through.where("a <> b")).distinct()
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 2, shingle: int = 3, seed: int = 42, by_text: bool = False) -> DataFrame:
     """(key, fp, component_id) of every row: fingerprints within ``reach`` bits link, classes are named by least key.
 
     Equal fingerprints are one node, however many rows share them.  Null keys take part but name no class, unless a
-    class has no other key; repeated rows stay; other columns are ignored.
+    class has no other key; repeated rows stay; other columns are ignored.  With ``by_text`` rows also have ``component``
+    and ``sha``, as those of ``near_classes``.
     """
-    marked = written(in_small_batches(docs).select(F.col(key).alias("key"), fingerprint_udf(shingle, seed)(F.col(text)).alias("fp")), "fingerprints")
+    sha = [F.sha2(F.col(text), 256).alias("sha")] if by_text else []
+    marked = written(in_small_batches(docs).select(F.col(key).alias("key"), *sha, fingerprint_udf(shingle, seed)(F.col(text)).alias("fp")), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
     root = roots(links(nodes.select("fp"), reach)).withColumnRenamed("node", "fp")
     rooted = written(nodes.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    by_fp = rooted.join(named, "root").select("fp", "component_id", F.col("root").alias("component"))
+    return marked.join(by_fp, "fp").select(F.col("key").alias(key), "fp", "component_id", *(["component", "sha"] if by_text else []))
 
 
 class WordHashes(dict):
@@ -326,11 +328,27 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     return marked.select("key", "sha", "id").join(by_id, "id").select(F.col("key").alias(key), "component_id", F.col("root").alias("component"), "sha")
 
 
+def merged(found: DataFrame, other: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, component, sha) of every row of ``found``: texts joined by a path of links of either result are one class.
+
+    Both are results of ``classes`` by text or of ``near_classes`` for the same rows.  Classes of ``found`` that meet in one
+    of ``other`` are joined.
+    """
+    ours, theirs = (d.select("sha", F.col("component").alias(name)).distinct() for d, name in ((found, "ours"), (other, "theirs")))
+    theirs = theirs.withColumnRenamed("sha", "_sha")
+    both = written(ours.join(theirs, F.col("sha").eqNullSafe(F.col("_sha"))).select("ours", "theirs").distinct(), "both")
+    meeting = both.groupBy("theirs").agg(F.min("ours").alias("a"), F.max("ours").alias("last")).where("a <> last").select("theirs", "a")
+    root = written(roots(both.join(meeting, "theirs").select("a", F.col("ours").alias("b"))), "roots")
+    return found.join(root.withColumnRenamed("node", "component"), "component", "left").select(key, F.coalesce("root", "component").alias("component"), "sha")
+
+
 def representatives(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each class in ``found``, the result of ``near_classes``, one row with its own columns: that of least key, null last.
+    """Of each class in ``found`` one row with its own columns: that of least key, null last.
+
+    ``found`` is the result of ``near_classes``, of ``classes`` by text, or of ``merged``.
 
     Of rows of that key the text of least SHA-256 stays, and of rows equal in key and text any one.  The result of
-    ``classes`` will do where keys are not null and don't repeat with different texts: it knows rows by their key alone.
+    ``classes`` without texts will do where keys are not null and don't repeat with different texts: it knows rows by their key alone.
     """
     k, sha, rows, at = unused(docs, "key", "sha", "rows", "row")
     by_text = "sha" in found.columns
