@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import share
+from ..functions.columns import printed, share
 from ..sources.tables import stored
 from .quantiles import joined, quantiles
 from .reports import significance, top_of_each
@@ -137,9 +137,9 @@ def actions() -> Column:
 
 
 def warning_reason() -> Column:
-    """Why an open work has its warning level, with numbers; ties of the last digit go to the even one."""
+    """Why an open work has its warning level, with numbers by their exact value; ties of the last digit go to the even one."""
     ratio, risk = F.col("stall_ratio"), F.col("risk")
-    slow = F.when(ratio >= 1.2, F.concat(F.lit("open "), F.format_string("%.1f", F.when(ratio * 4 % 4 == 1, F.bround(ratio, 1)).otherwise(ratio)), F.lit(" times as long as usual in "), F.col("state_name")))
+    slow = F.when(ratio >= 1.2, F.concat(F.lit("open "), printed(ratio, 1), F.lit(" times as long as usual in "), F.col("state_name")))
     late = F.when(risk >= 0.4, F.concat(F.lit("risk of "), F.rint(risk * 100).cast("long"), F.lit(" % not to be done in time")))
     said = F.concat_ws("; ", slow, late)
     return F.when(F.col("is_open") != 1, "completed").when(said == "", "in its usual range").otherwise(F.concat("warning_level", F.lit(": "), said))
